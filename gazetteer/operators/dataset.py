@@ -298,18 +298,22 @@ def with_provenance(host: Column, method: Column, photos: Column) -> Column:
     )
 
 
-def zip_stats(all_sites: DataFrame, programs: DataFrame) -> DataFrame:
-    """Per ZIP the centre of its sites of all years, their number, and programs now."""
+def zip_centres(all_sites: DataFrame) -> DataFrame:
+    """Centre of the sites of all years per ZIP, and their number."""
     located = all_sites.select(
         F.col("zipcode").alias("zip"), num(F.col("latitude")).alias("lat"),
         num(F.col("longitude")).alias("lng"),
     ).where("zip <> '' AND lat IS NOT NULL AND lng IS NOT NULL")
-    centres = located.groupBy("zip").agg(
+    return located.groupBy("zip").agg(
         F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lng"), 6).alias("lng"),
         F.count(F.lit(1)).alias("dycdSitesAllYears"),
     )
-    now = programs.groupBy(F.col("address.zip").alias("zip")).agg(F.count(F.lit(1)).alias("_now"))
-    return centres.join(now, "zip", "left").withColumn(
+
+
+def zip_stats(all_sites: DataFrame, programs: DataFrame) -> DataFrame:
+    """ZIP centres with the number of programs now; ``programs`` has a ``zip``."""
+    now = programs.groupBy("zip").agg(F.count(F.lit(1)).alias("_now"))
+    return zip_centres(all_sites).join(now, "zip", "left").withColumn(
         "k5ProgramsNow", F.coalesce("_now", F.lit(0).cast("bigint"))
     ).drop("_now")
 

@@ -170,10 +170,10 @@ def merge_prior(spark, d):
     return I.roster(spark, d).select("provider", "website", "confidence", "source")
 
 
-@query("q_zip_stats", f"WITH {I.SQL_PROGRAMS}, {I.SQL_ZIPS} SELECT zip, round(lat, 5) AS lat, round(lng, 5) AS lng, sites_all, now FROM zips", PV)
+@query("q_zip_stats", f"WITH {I.SQL_PROGRAMS}, {I.SQL_ZIPS} SELECT zip, lat, lng, sites_all, now FROM zips", PV)
 def zip_stats(spark, d):
     return I.zips(spark, d).select(
-        "zip", F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"),
+        "zip", "lat", "lng",
         F.col("dycdSitesAllYears").alias("sites_all"), F.col("k5ProgramsNow").alias("now"))
 
 
@@ -234,6 +234,6 @@ def exists_flags(spark, d):
   FROM zips z JOIN programs p ON p.lat IS NOT NULL AND p.lng IS NOT NULL WHERE z.now = 0 GROUP BY 1""", PV)
 def deserts(spark, d):
     from gazetteer.operators.search import deserts as find
-    return find(I.zips(spark, d), I.programs(spark, d)).select("zip", F.round("miles", 3).alias("miles"))
+    return find(I.zips(spark, d), I.places(spark, d)).select("zip", F.round("miles", 3).alias("miles"))
 
 

@@ -46,7 +46,17 @@ def roster(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zips(spark: SparkSession, d: str) -> DataFrame:
-    return D.zip_stats(view(spark, d, "sites_raw"), programs(spark, d))
+    sites = view(spark, d, "sites_raw")
+    return D.zip_stats(sites, D.core_programs(sites))
+
+
+def centres(spark: SparkSession, d: str) -> DataFrame:
+    return D.zip_centres(view(spark, d, "sites_raw"))
+
+
+def places(spark: SparkSession, d: str) -> DataFrame:
+    """What a search by place needs of each program."""
+    return D.core_programs(view(spark, d, "sites_raw")).select("_ord", "id", "zip", "lat", "lng")
 
 
 def sql_list(values) -> str:
@@ -142,3 +152,56 @@ zips AS (SELECT z.zip, lat, lng, n AS sites_all, coalesce(now, 0) AS now FROM
   (SELECT zipcode AS zip, round(avg({sql_num('latitude')}), 6) AS lat, round(avg({sql_num('longitude')}), 6) AS lng, count(*) AS n
    FROM sites_raw WHERE zipcode <> '' AND {sql_num('latitude')} IS NOT NULL AND {sql_num('longitude')} IS NOT NULL GROUP BY 1) z
   LEFT JOIN (SELECT zip, count(*) AS now FROM programs GROUP BY 1) p ON p.zip = z.zip)"""
+
+
+def cards(spark: SparkSession, d: str) -> DataFrame:
+    from gazetteer.operators.search import to_cards
+
+    return to_cards(programs(spark, d))
+
+
+def sql_label(x: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.LABELS.items())
+    return f"CASE {x} {whens} ELSE upper(left({x}, 1)) || substr({x}, 2) END"
+
+
+def sql_distinct(l: str) -> str:
+    """List without repeats, first position kept."""
+    return f"list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+
+
+SQL_TIDY = (
+    "trim(regexp_replace(regexp_replace(coalesce({c}, ''), '/Corporate$', '', 'i'), "
+    "',?\\s+(inc|incorporated|llc|ltd)\\.?$', '', 'i'))"
+)
+SQL_STATED = "(cost_source = 'provider-website' AND coalesce(method, '') = 'gemini')"
+_TAKEN = f"list_filter(tools, lambda t: t IN ({sql_list(vocab.TOOLS_THAT_ARE_SUBJECTS)}))"
+SQL_CARDS = f"""
+cards AS (SELECT _ord, id, provider, coalesce(name, 'After-school program') AS name, {SQL_TIDY.format(c='provider')} AS org,
+  array_to_string(list_filter([neighborhood, borough], lambda x: x IS NOT NULL AND x <> ''), ', ') AS neighborhood,
+  coalesce(borough, '') AS borough, coalesce(zip, '') AS zip,
+  regexp_replace(coalesce(age_range, 'Ask provider'), '\\s*-\\s*', '–', 'g') AS ages,
+  CASE WHEN area = 'Compass' OR ({SQL_STATED} AND tier = 'free') THEN 'Free' WHEN {SQL_STATED} AND tier = 'sliding-scale' THEN 'Sliding scale'
+    WHEN {SQL_STATED} AND tier = 'paid' THEN 'Paid' ELSE 'Ask provider' END AS cost,
+  CASE WHEN area = 'Compass' THEN 'Free · DYCD COMPASS' WHEN {SQL_STATED} AND tier = 'free' THEN 'Free · per provider'
+    WHEN {SQL_STATED} AND tier = 'sliding-scale' THEN 'Sliding scale · per provider' WHEN {SQL_STATED} AND tier = 'paid' THEN 'Paid · ask provider for fees'
+    ELSE 'DYCD-funded · fees not published' END AS cost_detail,
+  list_transform({sql_distinct(f"list_concat(subjects, {_TAKEN})")}, lambda s: {sql_label('s')}) AS subjects,
+  list_transform(tools, lambda s: {sql_label('s')}) AS tools,
+  CASE WHEN hours_text IS NOT NULL THEN hours_text WHEN type IN ('COMPASS Elementary', 'COMPASS SONYC Pilot') THEN 'Mon–Fri · 3 hrs a day'
+    WHEN area = 'Beacon' THEN 'Afternoons, evenings & weekends' WHEN area = 'Cornerstone' THEN 'Year-round · NYCHA center' ELSE 'Ask provider' END AS days,
+  CASE WHEN coalesce(seats, 0) <> 0 THEN CAST(CAST(seats AS BIGINT) AS VARCHAR) || ' funded seats' ELSE 'Ask provider' END AS seats,
+  CASE WHEN host_k5 THEN 'In school' END AS tag, coalesce(website, '{vocab.SIGNUP_PORTAL}') AS signup, lat, lng,
+  len(subjects) + len(tools) AS evidence, seats AS seat_count, n_photos FROM programs)"""
+_LA = "lower(ages)"
+SQL_CATALOG = f"""
+catalog AS (SELECT _ord, id, name, org, array_to_string(list_filter([org, tag], lambda x: x IS NOT NULL AND x <> ''), ' · ') AS summary,
+  CASE WHEN neighborhood <> '' THEN neighborhood WHEN borough <> '' THEN borough ELSE 'NYC' END AS location, borough AS area,
+  trim(regexp_replace(neighborhood, ',.*$', '')) AS neighborhood, zip, days AS hours_label,
+  CASE WHEN regexp_matches(days, '(?i)mon–fri|mon-fri') THEN 'after-school' WHEN regexp_matches(days, '(?i)evening') THEN 'evenings' ELSE 'unknown' END AS hours_kind,
+  CASE WHEN regexp_matches(days, '(?i)mon–fri|mon-fri') THEN [{sql_list(vocab.WEEKDAYS)}]
+    WHEN regexp_matches(days, '(?i)evening') THEN [{sql_list(vocab.WEEKDAYS)}, 'saturday', 'sunday'] ELSE [] END AS days,
+  cost = 'Free' AS is_free, CASE WHEN cost_detail <> '' THEN cost_detail ELSE cost END AS cost_label, ages,
+  CASE WHEN contains({_LA}, 'k–12') OR contains({_LA}, 'k–5') THEN 5 WHEN contains({_LA}, '4+') THEN 4 ELSE 5 END AS age_min,
+  CASE WHEN contains({_LA}, 'k–12') THEN 18 WHEN contains({_LA}, 'k–5') THEN 11 WHEN contains({_LA}, '4+') THEN 18 WHEN contains({_LA}, '5–20') THEN 20 ELSE 11 END AS age_max,
+  {sql_distinct("list_transform(list_concat(subjects, tools), lambda s: lower(s))")} AS topics, signup, lat, lng FROM cards)"""

@@ -37,7 +37,7 @@ VIEWS: dict[str, str] = {}
 
 VIEWS["sites_raw"] = f"""
 SELECT k AS _ord,
-  CASE WHEN k % 3 > 0 THEN '2026' ELSE '2025' END AS date,
+  CASE WHEN k % 3 > 0 AND site_no % 97 < 90 THEN '2026' ELSE '2025' END AS date,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'Grades K - 5' WHEN 'AUTOMOBILE' THEN 'Grades K - 12'
     WHEN 'MACHINERY' THEN 'Ages 4+' WHEN 'HOUSEHOLD' THEN 'Ages 5 - 20'
     ELSE 'Grades 6 - 8' END AS age_range,
