@@ -140,12 +140,10 @@ def label(s: Column) -> Column:
 
 def subject_key(subjects: Column) -> Column:
     """First heading, in priority order, that any subject falls under."""
-    rules = [
-        F.when(
-            F.exists(subjects, lambda s, names=names: F.lower(s).isin(names)), F.lit(key)
-        )
-        for key, names in vocab.SUBJECT_KEYS.items()
-    ]
+    def teaches(names: list[str]) -> Column:
+        return F.exists(subjects, lambda s: F.lower(s).isin(names))
+
+    rules = [F.when(teaches(names), F.lit(key)) for key, names in vocab.SUBJECT_KEYS.items()]
     return F.coalesce(*rules, F.lit("default"))
 
 

@@ -173,16 +173,16 @@ FROM {{part}}
 """
 
 VIEWS["media_raw"] = f"""
-SELECT l_orderkey * 8 + l_linenumber AS _ord, l_orderkey % 14 AS subject_no,
-  {_pick("l_orderkey", ["robotics", "coding", "chess", "engineering", "science", "gardening", "math",
-                        "cooking", "art", "music", "dance", "reading", "sports", "default"])} AS subject,
-  'q' || CAST(l_linenumber % 5 AS STRING) AS query, l_linenumber % 5 AS query_no, l_orderkey AS result_rank,
-  'Photo ' || CAST((l_orderkey * 7 + l_linenumber) % 5000 AS STRING) || {_pick("l_partkey", ["", " painting", " Children at school", " US_Navy day", " 1931 class"])} || '.jpg' AS title,
-  {_pick("l_suppkey", ["CC BY 4.0", "CC BY-SA 3.0", "CC0", "All rights reserved", "Public domain"])} AS license,
-  {_pick("l_partkey", ["Ann", "Bo", "Sgt Cy"])} AS artist,
-  'https://media.example.org/File:' || {_pick("l_suppkey", ["kids", "a%20day", "the%20army"])} || CAST(l_orderkey AS STRING) AS source,
-  CAST(800 + l_partkey % 900 AS BIGINT) AS width, CAST(600 + l_suppkey % 500 AS BIGINT) AS height
-FROM {{lineitem}}
+SELECT o_orderkey AS _ord, o_custkey % 14 AS subject_no,
+  {_pick("o_custkey", ["robotics", "coding", "chess", "engineering", "science", "gardening", "math",
+                       "cooking", "art", "music", "dance", "reading", "sports", "default"])} AS subject,
+  o_orderkey % 5 AS query_no, o_orderkey % 997 AS result_rank,
+  'Photo ' || CAST(o_orderkey * 7 % 5000 AS STRING) || {_pick("o_orderkey", ["", " painting", " Children at school", "", " US_Navy day", "", " 1931 class"])} || '.jpg' AS title,
+  {_pick("o_orderkey", ["CC BY 4.0", "CC BY-SA 3.0", "CC0", "All rights reserved", "Public domain"])} AS license,
+  {_pick("o_custkey", ["Ann", "Bo", "Sgt Cy"])} AS artist,
+  'https://media.example.org/File:' || {_pick("o_orderkey", ["kids", "a%20day", "the%20army"])} || CAST(o_orderkey % 9000 AS STRING) AS source,
+  CAST(900 + o_custkey % 900 AS BIGINT) AS width, CAST(600 + o_orderkey % 500 AS BIGINT) AS height
+FROM {{orders}}
 """
 
 VIEWS["questions"] = """
@@ -255,8 +255,8 @@ def with_views(sql: str, *names: str) -> str:
         parts.append(f"{n} AS ({text.format(**{b: b for b in _names(text)})})")
     joined = ",\n".join(parts)
     body = sql.strip()
+    if body[:15].lower() == "with recursive ":
+        return f"WITH RECURSIVE {joined},\n{body[15:]}"
     if body[:5].lower() == "with ":
         return f"WITH {joined},\n{body[5:]}"
-    if body[:15].lower().startswith("with recursive "):
-        return f"WITH RECURSIVE {joined},\n{body[15:]}"
     return f"WITH {joined}\n{body}"
