@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gazetteer import vocab
-from gazetteer.functions.regex import SPACE, fold_space, has, java, sub
+from gazetteer.functions.regex import SPACE, fold_space, has, holds, java, let, sub
 from gazetteer.functions.values import literal_array
 
 
@@ -149,10 +149,11 @@ def subject_key(subjects: Column) -> Column:
 
 # --- matches and quotes ---------------------------------------------------
 
-def match_positions(text: Column, pattern: str) -> Column:
-    """All matches of a pattern as ``array<struct<pos,len>>``, 0-based."""
+def match_positions(text: Column, pattern: str | Column) -> Column:
+    """All matches of a Java pattern as ``array<struct<pos,len>>``, 0-based."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     between = F.transform(F.split(text, pattern, -1), F.length)
-    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    hits = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     start = F.struct(
         F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,len:int>>").alias("out")
     )
@@ -179,33 +180,41 @@ def _last_index(text: Column, two: str) -> Column:
 
 
 def quote_around(text: Column, pos: Column, length: Column, reach: int = vocab.QUOTE_REACH) -> Column:
-    """The words around a match, cut at a sentence end or at white space."""
-    after_match = pos + length
+    """The words around a match, cut at a sentence end or at white space.
+
+    Works on the stretch of text in reach, and one character more to see
+    whether the text goes on.
+    """
     lo = F.greatest(F.lit(0), pos - reach)
-    hi = F.least(F.length(text), after_match + reach)
+    stretch = F.struct(
+        F.substring(text, lo + 1, pos - lo).alias("before"),
+        F.substring(text, pos + 1, length + reach + 1).alias("rest"),
+        (lo > 0).alias("cut"), length.alias("len"),
+    )
+    return let(stretch, lambda s: _cut_quote(s, reach))
 
-    before = F.substring(text, lo + 1, pos - lo)
+
+def _cut_quote(s: Column, reach: int) -> Column:
+    before, rest, size = s["before"], s["rest"], s["len"]
     stop = F.greatest(*[_last_index(before, mark) for mark in (". ", "! ", "? ")])
     blank = F.instr(before, F.lit(" "))
     begin = (
-        F.when(stop >= 0, lo + stop + 2)
-        .when(lo > 0, F.when(blank > 0, lo + blank).otherwise(pos))
-        .otherwise(lo)
+        F.when(stop >= 0, stop + 2)
+        .when(s["cut"], F.when(blank > 0, blank).otherwise(F.length(before)))
+        .otherwise(0)
     )
 
-    after = F.substring(text, after_match + 1, hi - after_match)
+    goes_on = F.length(rest) > size + reach
+    after = F.substring(rest, size + 1, F.lit(reach))
     mark = F.regexp_instr(after, F.lit(rf"[.!?]({SPACE}|\z)"))
-    tail = F.substring(text, after_match + 2, hi - after_match)
+    tail = F.substring(rest, size + 2, F.lit(reach))
     last_blank = F.instr(F.reverse(tail), F.lit(" "))
     finish = (
-        F.when(mark > 0, after_match + mark)
-        .when(
-            (hi < F.length(text)) & (last_blank > 0),
-            after_match + 1 + F.length(tail) - last_blank,
-        )
-        .otherwise(hi)
+        F.when(mark > 0, size + mark)
+        .when(goes_on & (last_blank > 0), size + 1 + F.length(tail) - last_blank)
+        .otherwise(size + reach)
     )
-    cut = F.substring(text, begin + 1, finish - begin)
+    cut = F.concat(F.substring(before, begin + 1, F.length(before)), F.substring(rest, F.lit(1), finish))
     return F.regexp_replace(cut, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
@@ -229,7 +238,7 @@ def usable_quote(quote: Column) -> Column:
 def tags(text: Column, patterns: dict[str, str]) -> Column:
     """Names of the patterns a text holds, in pattern order."""
     return F.array_compact(
-        F.array(*[F.when(has(text, p), F.lit(name)) for name, p in patterns.items()])
+        F.array(*[F.when(holds(text, p), F.lit(name)) for name, p in patterns.items()])
     )
 
 
@@ -237,7 +246,7 @@ def looks_local(
     text: Column, markers: str = vocab.REGION_MARKERS, short: int = vocab.SHORT_PAGE_CHARS
 ) -> Column:
     """Whether a page names the region; too little text is given the benefit."""
-    return (F.length(text) < short) | has(text, markers)
+    return (F.length(text) < short) | holds(text, markers)
 
 
 def first_email(text: Column) -> Column:
@@ -249,4 +258,4 @@ def first_phone(text: Column) -> Column:
 
 
 def has_program(text: Column) -> Column:
-    return has(text, vocab.HAS_PROGRAM)
+    return holds(text, vocab.HAS_PROGRAM)

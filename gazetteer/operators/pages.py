@@ -17,17 +17,19 @@ OG_IMAGE = r"""(?i)<meta[^>]+property=["']og:image["'][^>]+content=["']([^"']+)[
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """Anchors of each page: position, href, plain label, absolute URL."""
-    found = F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(LINK), F.lit(1)).alias("href"),
-        F.regexp_extract_all("html", F.lit(LINK), F.lit(2)).alias("raw"),
-    )
-    return (
-        pages.select("*", F.posexplode(found).alias("pos", "_a")).drop("html")
-        .withColumn("href", F.col("_a.href"))
-        .withColumn("label", F.trim(F.regexp_replace("_a.raw", "<[^>]+>", " ")))
-        .withColumn("link", absolute(F.col("href"), F.col("url")))
-        .drop("_a")
+    found = F.transform(
+        F.arrays_zip(
+            F.regexp_extract_all("html", F.lit(LINK), F.lit(1)).alias("href"),
+            F.regexp_extract_all("html", F.lit(LINK), F.lit(2)).alias("raw"),
+        ),
+        lambda a: F.struct(
+            a["href"].alias("href"),
+            F.trim(F.regexp_replace(a["raw"], "<[^>]+>", " ")).alias("label"),
+            absolute(a["href"], F.col("url")).alias("link"),
+        ),
     )
+    rest = [c for c in pages.columns if c != "html"]
+    return pages.select(*rest, F.posexplode(found).alias("pos", "_a")).select(*rest, "pos", "_a.*")
 
 
 def select_links(
@@ -52,26 +54,29 @@ def extract_images(pages: DataFrame) -> DataFrame:
     def attr(tag: Column, pattern: str) -> Column:
         return F.nullif(F.regexp_extract(tag, rf"(?i)\b{pattern}", 1), F.lit(""))
 
+    def reference(src: Column, alt: Column) -> Column:
+        return F.struct(
+            absolute(src, F.col("url")).alias("link"),
+            F.substring(fold_space(alt), 1, vocab.ALT_CHARS).alias("alt"))
+
     tags = F.transform(
         F.regexp_extract_all("html", F.lit(IMG), F.lit(0)),
-        lambda t: F.struct(
+        lambda t: reference(
             F.coalesce(
                 attr(t, r"""src=["']([^"']+)["']"""),
                 attr(t, r"""data-src=["']([^"']+)["']"""),
                 attr(t, r"""srcset=["']([^"'\s,]+)"""),
-            ).alias("src"),
-            F.regexp_extract(t, r"""(?i)\balt=["']([^"']*)["']""", 1).alias("alt"),
+            ),
+            F.regexp_extract(t, r"""(?i)\balt=["']([^"']*)["']""", 1),
         ),
     )
     previews = F.transform(
         F.regexp_extract_all("html", F.lit(OG_IMAGE), F.lit(1)),
-        lambda u: F.struct(u.alias("src"), F.lit("og:image").alias("alt")),
-    )
+        lambda u: reference(u, F.lit("og:image")))
+    rest = [c for c in pages.columns if c != "html"]
     found = (
-        pages.select("*", F.posexplode(F.concat(tags, previews)).alias("pos", "_i")).drop("html")
-        .withColumn("link", absolute(F.col("_i.src"), F.col("url")))
-        .withColumn("alt", F.substring(fold_space(F.col("_i.alt")), 1, vocab.ALT_CHARS))
-        .drop("_i")
+        pages.select(*rest, F.posexplode(F.concat(tags, previews)).alias("pos", "_i"))
+        .select(*rest, "pos", "_i.*")
         .where(F.col("link").isNotNull() & plausible_image(F.col("link"), "svg"))
     )
     return first_per(found, ["url", "link"], F.col("pos"))
