@@ -181,7 +181,7 @@ def has(c: Column, pattern: str, ignore_case: bool = True) -> Column:
     return c.rlike(java(pattern, ignore_case))
 
 
-def holds(text: Column, pattern: str) -> Column:
+def holds(text: Column, pattern: str, lowered: Column | None = None) -> Column:
     """Whether a long text has a pattern, upper or lower case.
 
     Plain substring search is far cheaper than a regular expression, so texts
@@ -192,7 +192,7 @@ def holds(text: Column, pattern: str) -> Column:
     letters = needed(pattern)
     if not letters or len(letters) > 80:
         return full
-    lowered = F.lower(text)
+    lowered = F.lower(text) if lowered is None else lowered
     return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(x)) for x in letters]) & full
 
 

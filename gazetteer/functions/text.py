@@ -237,9 +237,10 @@ def usable_quote(quote: Column) -> Column:
 
 def tags(text: Column, patterns: dict[str, str]) -> Column:
     """Names of the patterns a text holds, in pattern order."""
-    return F.array_compact(
-        F.array(*[F.when(holds(text, p), F.lit(name)) for name, p in patterns.items()])
-    )
+    both = F.struct(text.alias("text"), F.lower(text).alias("lowered"))
+    return let(both, lambda b: F.array_compact(F.array(*[
+        F.when(holds(b["text"], p, b["lowered"]), F.lit(name)) for name, p in patterns.items()
+    ])))
 
 
 def looks_local(
