@@ -43,7 +43,7 @@ def snapshot_scan(spark, d):
     path = _folder(spark, "snapshot")
     rows = table(spark, d, "supplier").select(*[F.col(c).cast("string") for c in ("s_suppkey", "s_name", "s_nationkey")])
     rows.write.json(path)
-    return S.read_snapshot(spark, path, "s_suppkey string, s_name string, s_nationkey string").where("s_suppkey IS NOT NULL")
+    return S.read_snapshot(spark, path, "s_suppkey string, s_name string, s_nationkey string", "jsonl")
 
 
 @query("q_optional_source", """SELECT c_custkey, CAST(NULL AS VARCHAR) AS website FROM customer""")
@@ -150,7 +150,7 @@ def _cache(spark, d):
         C.cache_key(["event_type", "user_id"]).alias("key"), F.col("event_id").alias("stored_at"), "ok", "status", "error")
 
 
-@query("q_cached_enrich", f"""WITH hit AS (SELECT event_type, user_id, max_by(status, event_id) AS status FROM fetches WHERE user_id % 2 = 0 AND {_DEFINITIVE} GROUP BY 1, 2),
+@query("q_cached_enrich", f"""WITH hit AS (SELECT event_type, user_id, max_by(struct_pack(s := status), event_id).s AS status FROM fetches WHERE user_id % 2 = 0 AND {_DEFINITIVE} GROUP BY 1, 2),
   asked AS (SELECT event_type, user_id, count(*) AS requests FROM fetches GROUP BY 1, 2)
   SELECT a.event_type, a.user_id, a.requests, h.event_type IS NOT NULL AS from_cache, CASE WHEN h.event_type IS NOT NULL THEN h.status ELSE 200 + a.user_id % 300 END AS status
   FROM asked a LEFT JOIN hit h ON h.event_type = a.event_type AND h.user_id = a.user_id""", ("fetches",))
