@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gazetteer import vocab
-from gazetteer.functions.regex import SPACE, fold_space, has
+from gazetteer.functions.regex import SPACE, fold_space, has, let
 from gazetteer.functions.text import rewrite
 
 HOST = r"^(?i)(?:https?://)?(?:[^/?#@\s]*@)?([^/?#:@\s]+)(?::\d+)?(?:[/?#].*)?$"
@@ -90,29 +90,36 @@ def _escape(url: Column) -> Column:
 
 def absolute(href: Column, base: Column) -> Column:
     """Absolute http(s) URL of a reference on a page, without its fragment."""
-    ref = F.regexp_extract(F.regexp_replace(href, rf"\A{SPACE}+|{SPACE}+\z", ""), "^[^#]*", 0)
-    origin = F.regexp_extract(base, r"^(?i)https?://[^/?#]*", 0)
-    scheme = F.regexp_extract(base, r"^(?i)(https?:)", 1)
-    page = F.regexp_extract(base, "^[^?#]*", 0)
-    base_path = F.substring(page, F.length(origin) + 1, 10_000)
-    folder = F.regexp_extract(base_path, "^.*/", 0)
-    joined = (
-        F.when(ref == "", F.regexp_extract(base, "^[^#]*", 0))
+    parts = F.struct(
+        F.regexp_extract(F.regexp_replace(href, rf"\A{SPACE}+|{SPACE}+\z", ""), "^[^#]*", 0).alias("ref"),
+        F.regexp_extract(base, "^[^#]*", 0).alias("whole"),
+        F.regexp_extract(base, "^[^?#]*", 0).alias("page"),
+        F.regexp_extract(base, r"^(?i)https?://[^/?#]*", 0).alias("origin"),
+    )
+    joined = let(parts, _join_reference)
+    split = let(joined, lambda u: F.struct(
+        F.regexp_extract(u, r"^(?i)(https?://[^/?#]*)", 1).alias("start"),
+        F.regexp_extract(u, r"^(?i)https?://[^/?#]*([^?]*)", 1).alias("path"),
+        F.regexp_extract(u, r"^[^?]*(.*)", 1).alias("query"),
+    ))
+    return let(split, lambda s: F.when(s["start"] != "", _escape(F.concat(
+        F.lower(s["start"]),
+        F.when(s["path"] == "", F.lit("/")).otherwise(_tidy_path(s["path"])),
+        s["query"]))))
+
+
+def _join_reference(s: Column) -> Column:
+    ref, origin = s["ref"], s["origin"]
+    folder = F.regexp_extract(s["page"], r"^(?i)https?://[^/?#]*(/.*/|/)", 1)
+    return F.when(origin != "", (
+        F.when(ref == "", s["whole"])
         .when(ref.rlike(r"^(?i)https?://[^/?#\s]"), ref)
-        .when(ref.rlike("^//"), F.concat(scheme, ref))
+        .when(ref.rlike("^//"), F.concat(F.regexp_extract(origin, "^[^:]*:", 0), ref))
         .when(ref.rlike(r"^(?i)[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
         .when(ref.rlike("^/"), F.concat(origin, ref))
-        .when(ref.rlike(r"^\?"), F.concat(page, ref))
+        .when(ref.rlike(r"^\?"), F.concat(s["page"], ref))
         .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), ref))
-    )
-    start = F.regexp_extract(joined, r"^(?i)https?://[^/?#]*", 0)
-    rest = F.substring(joined, F.length(start) + 1, 10_000)
-    path = F.regexp_extract(rest, r"^[^?]*", 0)
-    query = F.substring(rest, F.length(path) + 1, 10_000)
-    full_path = F.when(path == "", F.lit("/")).otherwise(_tidy_path(path))
-    return F.when(
-        (start != "") & (origin != ""), _escape(F.concat(F.lower(start), full_path, query))
-    )
+    ))
 
 
 def plausible_image(url: Column, extensions: str = "svg|ico|gif") -> Column:
