@@ -238,10 +238,6 @@ def route_questions(questions: DataFrame, catalog: DataFrame, centroids: DataFra
     parsed = cut_lineage(match_places(parse_texts(texts), catalog))
     named = cut_lineage(named_programs(texts, catalog))
     named_counts = named.groupBy("q").agg(F.count(F.lit(1)).alias("_named"))
-    hits = cut_lineage(keyword_search(texts.select(F.col("q").alias("qid"), "q"), catalog_text(catalog)))
-    keyword = hits.join(catalog.select(F.col("id").alias("text_id"), "_ord"), "text_id").select(
-        F.col("qid").alias("q"), F.col("text_id").alias("id"), "_ord")
-    any_hit = hits.select(F.col("qid").alias("q")).distinct().withColumn("_hit", F.lit(True))
     known = centroids.select(F.col("zip").alias("near_zip")).withColumn("_known", F.lit(True))
 
     others = ["cost", "age", "days", "hours_kind", "after_min", "before_min", "near_zip"]
@@ -250,9 +246,9 @@ def route_questions(questions: DataFrame, catalog: DataFrame, centroids: DataFra
     listing = A.asks_where(q) | A.asks_for_list(q)
     settled = (
         parsed.withColumn("age_group", F.when(~(only_group & ~listing), F.col("age_group")))
-        .join(named_counts, "q", "left").join(any_hit, "q", "left").join(known, "near_zip", "left")
+        .join(named_counts, "q", "left").join(known, "near_zip", "left")
     )
-    route = (
+    settled_route = (
         F.when(q == "", "empty")
         .when(A.says(q, A.GREETING), "greeting")
         .when(A.says(q, A.HELP), "help")
@@ -261,12 +257,20 @@ def route_questions(questions: DataFrame, catalog: DataFrame, centroids: DataFra
         .when(F.col("near_zip").isNotNull() & F.col("_known").isNull(), "unknown-zip")
         .when(has_filters(), "filters")
         .when(listing, "overview")
-        .when(F.col("_hit"), "keyword")
-        .otherwise("none")
     )
-    routes = settled.withColumn("route", route).withColumn("where_asked", A.asks_where(q)).withColumn(
-        "sig", F.sha2(F.to_json(F.struct(*FILTERS, "where_asked")), 256)).drop("_named", "_hit", "_known")
-    routed = asked.join(cut_lineage(routes), "q")
+    first = cut_lineage(
+        settled.withColumn("route", settled_route).withColumn("where_asked", A.asks_where(q))
+        .withColumn("sig", F.sha2(F.to_json(F.struct(*FILTERS, "where_asked")), 256))
+        .drop("_named", "_known"))
+    # Only what no other way took is looked up word by word.
+    open_texts = first.where("route IS NULL").select(F.col("q").alias("qid"), "q")
+    hits = cut_lineage(keyword_search(open_texts, catalog_text(catalog)))
+    keyword = hits.join(catalog.select(F.col("id").alias("text_id"), "_ord"), "text_id").select(
+        F.col("qid").alias("q"), F.col("text_id").alias("id"), "_ord")
+    any_hit = hits.select(F.col("qid").alias("q")).distinct().withColumn("_hit", F.lit(True))
+    routes = first.join(any_hit, "q", "left").withColumn("route", F.coalesce(
+        "route", F.when(F.col("_hit"), "keyword"), F.lit("none"))).drop("_hit")
+    routed = asked.join(routes, "q")
     return {"routes": routed, "named": named, "keyword": keyword}
 
 

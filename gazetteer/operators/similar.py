@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazetteer.functions.regex import let
 from gazetteer.session import cut_lineage
 
 HASHES, BANDS = 32, 16
@@ -12,11 +13,15 @@ HASHES, BANDS = 32, 16
 
 def shingles(text: Column, k: int = 5) -> Column:
     """Distinct hashes of every k words in a row."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
-    n = F.size(words)
-    zipped = F.arrays_zip(*[F.slice(words, i + 1, n).alias(f"w{i}") for i in range(k)])
-    runs = F.transform(zipped, lambda z: F.xxhash64(*[z[f"w{i}"] for i in range(k)]))
-    return F.array_distinct(F.slice(runs, F.lit(1), F.greatest(n - k + 1, F.lit(1))))
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+    def runs(words: Column) -> Column:
+        n = F.size(words)
+        zipped = F.arrays_zip(*[F.slice(words, i + 1, n).alias(f"w{i}") for i in range(k)])
+        hashed = F.transform(zipped, lambda z: F.xxhash64(*[z[f"w{i}"] for i in range(k)]))
+        return F.array_distinct(F.slice(hashed, F.lit(1), F.greatest(n - k + 1, F.lit(1))))
+
+    return let(F.split(plain, " "), runs)
 
 
 def min_hashes(found: Column, n: int = HASHES) -> Column:
@@ -48,13 +53,11 @@ def near_duplicate_groups(
     lead = hashed.groupBy(group, "_sha").agg(F.min(key).alias("_lead"))
     copies = hashed.select(group, key, "_sha").join(lead, [group, "_sha"]).select(key, "_lead")
     single = hashed.join(lead.select(F.col("_lead").alias(key)), key, "left_semi")
-    marked = cut_lineage(single.select(group, key, shingles(F.col("text")).alias("_sh")).where("size(_sh) > 0"))
+    marked = cut_lineage(single.select(group, key, shingles(F.col("text")).alias("_sh"))).where("size(_sh) > 0")
     width = HASHES // BANDS
-    signature = marked.select(group, key, min_hashes(F.col("_sh")).alias("_m"))
-    band = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda i: F.xxhash64(i, F.slice(F.col("_m"), i * width + 1, width)))
-    open_rows = cut_lineage(signature.select(group, key, F.explode(band).alias("_bucket")))
+    signature = cut_lineage(marked.select(group, key, min_hashes(F.col("_sh")).alias("_m")))
+    bands = F.array(*[F.xxhash64(F.lit(i), F.slice("_m", i * width + 1, width)) for i in range(BANDS)])
+    open_rows = cut_lineage(signature.select(group, key, F.explode(bands).alias("_bucket")))
     links = None
     while True:
         leaders = open_rows.groupBy(group, "_bucket").agg(
