@@ -6,7 +6,9 @@ first.  Each piece is a sequence of its own without padding; ``bucket`` is the
 exponent of its length, and batches are drawn from one bucket, whose sequences
 are all equally long.
 
-Tokens: the tokenizer's pre-tokens never cross a single space between two
+Tokens are those of a byte-level BPE file of the tokenizers library; texts that
+hold its special tokens go through that library, others through the same
+merges in tiktoken, which gives the same ids.  The tokenizer's pre-tokens never cross a single space between two
 characters that are not white space, so a text splits there and each distinct
 chunk of a batch is encoded once and kept in a bounded cache.  A text with any
 other space is encoded whole.
@@ -20,10 +22,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,11 +36,36 @@ from gazetteer.llm.common import bounded, texts_of
 
 MAX_LENGTH = 2048
 END_TOKEN = 1
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
+
+# White space of the tokenizer's pattern, and a few controls beside it that only cost time.
+_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{180E}\p{Z}]"
+
+
+# Fixed value: the pattern of byte-level pre-tokenizers.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _merges(tokenizer) -> tiktoken.Encoding:
+    """The tokenizer's vocabulary as merge ranks, which its ids are; several times as fast on short chunks.
+
+    A byte-level vocabulary writes printable bytes as themselves and the others,
+    in order, as the characters from 256 on.
+    """
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+    added = tokenizer.get_added_tokens_decoder()
+    ranks = {bytes(byte[c] for c in word): i for word, i in tokenizer.get_vocab().items() if i not in added}
+    return tiktoken.Encoding("chunks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
-    """Token ids of many texts, through a cache of chunks."""
+    """Token ids of many texts, through a cache of chunks.
+
+    The cache keeps the first ``CACHE_ENTRIES`` chunks it meets; later ones
+    are held for their batch alone.
+    """
 
     _by_path: dict[str, Encoder] = {}
 
@@ -45,7 +74,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merges = _merges(self.tokenizer)
+        self.place: dict[str, int] = {}  # chunk -> row of sizes
+        self.sizes = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -53,52 +86,75 @@ class Encoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        cache = self.cache
-        new = [c for c in chunks if c not in cache]
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-            new = chunks
-        cache.update(zip(new, self._whole(new), strict=True))
-        return [cache[c] for c in chunks]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and where each text's begin (with the end)."""
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and the ids one after another."""
+        merge, special = self.merges.encode_ordinary, self.special
+        found = [merge(t) for t in texts]
+        together = "\0".join(texts)
+        if any(x in together for x in special):
+            for i, t in enumerate(texts):
+                if any(x in t for x in special):
+                    found[i] = self.tokenizer.encode(t, add_special_tokens=False).ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+
+    def _chunks(self, chunks: list[str], whole: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the chunks, then of the whole texts, in (sizes, ids)."""
+        place = self.place
+        rows = [place.get(c, -1) for c in chunks]
+        new = [c for c, r in zip(chunks, rows, strict=True) if r < 0]
+        rows = np.array(rows + [-1] * len(whole), np.int64)
+        known = len(self.sizes)
+        rows[rows < 0] = known + np.arange(len(new) + len(whole))
+        sizes, ids = self._encoded(new + whole)
+        stay = min(len(new), max(0, CACHE_ENTRIES - known))
+        all_sizes, all_ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        place.update(zip(new[:stay], range(known, known + stay), strict=True))
+        if stay:
+            self.sizes, self.ids = all_sizes[: known + stay], all_ids[: len(self.ids) + int(sizes[:stay].sum())]
+        return rows, all_sizes, all_ids
+
+    def encode(self, texts: pa.Array, end_token: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by the end token, and where each text's begin (with the end)."""
         lists = pc.split_pattern(texts, " ")
         flat = lists.flatten().dictionary_encode()
         code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-        pieces = flat.dictionary.to_pylist()
+        bad_start, bad_end = (pc.match_substring_regex(flat.dictionary, p).to_numpy(zero_copy_only=False)
+                              for p in (rf"\A(?:\z|{_SPACE})", rf"(?:\A|{_SPACE})\z"))
         fresh = np.concatenate([[True], owner[1:] != owner[:-1]])
-        starts_bad = np.array([p[:1].isspace() or not p for p in pieces], bool)
-        ends_bad = np.array([p[-1:].isspace() or not p for p in pieces], bool)
         bad = np.zeros(len(code), bool)
-        bad[1:] = ~fresh[1:] & (starts_bad[code[1:]] | ends_bad[code[:-1]])
+        bad[1:] = ~fresh[1:] & (bad_start[code[1:]] | bad_end[code[:-1]])
         odd = np.zeros(len(texts), bool)
         odd[owner[bad]] = True
 
-        keep = ~odd[owner]
-        form = code[keep] * 2 + ~fresh[keep]  # the same piece with and without a space before it
-        used, form = np.unique(form, return_inverse=True)
-        ids = self._chunks([(" " if u & 1 else "") + pieces[u >> 1] for u in used.tolist()])
+        form = code * 2 + ~fresh  # the same piece with and without a space before it
+        seen = np.zeros(2 * len(flat.dictionary), bool)
         whole = np.flatnonzero(odd)
-        ids += self._whole([texts[int(i)].as_py() for i in whole])
-        # one unit per chunk, or per text that is encoded whole, in text order
-        unit = np.concatenate([form, len(used) + np.arange(len(whole))])
-        of = np.concatenate([owner[keep], whole])
-        order = np.argsort(of, kind="stable")
-        unit, of = unit[order], of[order]
-        size = np.array([len(x) for x in ids], np.int64)
-        begin = np.cumsum(size) - size
-        body = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        n = size[unit]
-        at = np.repeat(begin[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        bounds = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum(np.bincount(of, n, len(texts)).astype(np.int64), out=bounds[1:])
-        return body[at], bounds
+        if len(whole):
+            keep = ~odd[owner]
+            form, owner = form[keep], owner[keep]
+        seen[form] = True
+        used = np.flatnonzero(seen)
+        pieces = flat.dictionary.to_pylist()
+        rows, sizes, ids = self._chunks([" " + pieces[u >> 1] if u & 1 else pieces[u >> 1] for u in used.tolist()],
+                                        [texts[int(i)].as_py() for i in whole])
+        number = np.empty(len(seen), np.int64)
+        number[used] = rows[: len(used)]
+        # one unit per chunk, or per text that is encoded whole, in text order, and the end token's
+        sizes, ids = np.append(sizes, 1), np.append(ids, np.uint32(end_token))
+        unit = number[form]
+        if len(whole):
+            unit, owner = np.concatenate([unit, rows[len(used):]]), np.concatenate([owner, whole])
+            order = np.argsort(owner, kind="stable")
+            unit, owner = unit[order], owner[order]
+        unit = np.insert(unit, np.cumsum(np.bincount(owner, minlength=len(texts))), len(sizes) - 1)
+        n = sizes[unit]
+        stop = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[unit] - (stop - n), n)
+        at += np.arange(len(at))
+        bounds = np.concatenate([[0], stop[unit == len(sizes) - 1]])
+        return ids[at], bounds
 
 
 def piece_lengths(tokens: int, max_length: int = MAX_LENGTH) -> list[int]:
@@ -120,22 +176,20 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(tokenizer)
         for batch in bounded(batches, "text"):
-            ids, bounds = encoder.encode(texts_of(batch, "text"))
-            ends = np.append(bounds[1:] + np.arange(len(bounds) - 1), [])  # where the end tokens go
-            ids = np.insert(ids, bounds[1:], end_token).astype("<u4")
-            tokens = np.diff(bounds) + 1
+            ids, bounds = encoder.encode(texts_of(batch, "text"), end_token)
+            ids = ids.astype("<u4", copy=False)
+            tokens = np.diff(bounds)
             lengths = [piece_lengths(int(t), max_length) for t in tokens]
             counts = np.array([len(x) for x in lengths])
             length = np.array([x for own in lengths for x in own], np.int64)
             doc = np.repeat(np.arange(len(tokens)), counts)
             stop = np.cumsum(length)
             begin = stop - length
-            first = (ends - tokens + 1).astype(np.int64)
             offsets = np.concatenate([[0], stop]).astype(np.int64) * 4
             body = pa.LargeBinaryArray.from_buffers(
                 pa.large_binary(), len(length), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), pa.array(begin - first[doc]), pa.array(length), pa.array(tokens[doc]),
+                [batch.column(0).take(pa.array(doc)), pa.array(begin - bounds[doc]), pa.array(length), pa.array(tokens[doc]),
                  pa.array(np.log2(length).astype(np.int32)), body.cast(pa.binary())],
                 names=["doc_id", "start", "length", "doc_tokens", "bucket", "ids"])
 
