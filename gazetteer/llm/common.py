@@ -88,7 +88,7 @@ def running_start(df: DataFrame, by: list[str], order: list[str], value: str, ou
     apart.  Chunks keep a group that holds most rows out of a single task: each
     is summed by itself and set off by the totals of the chunks before it.
     """
-    chunks = max(1, -(-rows // per_chunk))
+    chunks = max(1, -(-rows // per_chunk), min(64, -(-rows // 512)))
     df = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)))
     totals = df.groupBy(*by, "_chunk").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -39,6 +39,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
+MAX_TASKS = 20_000
 SEED = 20240601
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -191,7 +192,7 @@ def plan(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "
     drawn = drawn.where("n > 0").withColumn(
         "offset", F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).withColumn("shard_slots", F.sum("n").over(Window.partitionBy("shard")))
-    slots = drawn.mapInArrow(_expand(sources), "shard long, slot long, src long, turn long, block long, most long")
+    slots = drawn.repartition(min(shards + 1, MAX_TASKS), "shard").mapInArrow(_expand(sources), "shard long, slot long, src long, turn long, block long, most long")
 
     rows = sum(r["n"] for r in found)
     placed = running_start(docs.where("size > 0"), ["src"], ["doc_id", "size", "row_id"], "size", "at", rows)
@@ -202,7 +203,7 @@ def plan(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "
     parts = parts.select("row_id", "src", "block", (low - F.col("at")).alias("first"),
                          (low - F.col("block") * block_words).alias("low"),
                          (high - F.col("block") * block_words).alias("high"))
-    pieces = slots.join(parts, ["src", "block"]).where("low < most")
+    pieces = slots.join(parts.hint("merge"), ["src", "block"])  # slots grow with the input.where("low < most")
     pieces = pieces.select("shard", "slot", "turn", "block", "row_id", "first",
                            (F.least("high", "most") - F.col("low")).alias("words"))
     return docs, pieces
