@@ -5,7 +5,8 @@ become bitmaps, at most ``max_bits`` / 8 bytes in all, which are broadcast.
 Pass two looks each row's cells up in them.  A row with a cell that no other
 row shares is unique and passes straight through.  The others meet by SHA-256,
 aggregated within each task first, so a text that a third of all rows share is
-a few rows per task.  A filter that is too small lets more rows shuffle; it
+a few rows per task; rows of the at most ``HOT_GROUPS`` groups above a
+thousandth of all rows learn their group from a broadcast.  A filter that is too small lets more rows shuffle; it
 never changes the result.
 
 Defined cases: a null text counts as empty; an empty table gives an empty
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 30
 LEAST_BITS = 1 << 15
+HOT_GROUPS = 1000
 
 
 def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
@@ -78,6 +80,7 @@ def _prepared(df: DataFrame, text: str, key: str, expected_rows: int | None, max
 def annotate(df: DataFrame, text: str = "text", key: str = "doc_id", expected_rows: int | None = None,
              max_bits: int = MAX_BITS) -> DataFrame:
     """Every row as ``row``, with keep_id, group_size, kept and text_sha256."""
+    expected_rows = df.count() if expected_rows is None else expected_rows
     rows = _prepared(df, text, key, expected_rows, max_bits)
     alone = rows.where("NOT _maybe").select(
         "row", F.col("_key").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
@@ -85,10 +88,17 @@ def annotate(df: DataFrame, text: str = "text", key: str = "doc_id", expected_ro
     maybe = rows.where("_maybe").select("row", "_key", "_sha")
     groups = maybe.groupBy(F.col("_sha").alias("_group")).agg(
         F.max("_key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    met = maybe.join(groups, F.col("_sha") == F.col("_group")).select(
-        "row", "keep_id", "group_size", F.col("_key").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("_sha").alias("text_sha256"))
-    return alone.unionByName(met)
+    # Groups above a share of all rows: at most HOT_GROUPS of them, so their rows need not meet by key.
+    large = F.col("group_size") * HOT_GROUPS > expected_rows
+    hot = F.broadcast(groups.where(large).withColumnsRenamed({c: f"_hot_{c}" for c in groups.columns}))
+    maybe = maybe.join(hot, F.col("_sha") == F.col("_hot__group"), "left")
+    out = ["row", "keep_id", "group_size", F.col("_key").eqNullSafe(F.col("keep_id")).alias("kept"),
+           F.col("_sha").alias("text_sha256")]
+    near = maybe.where("_hot__group IS NOT NULL").withColumnsRenamed(
+        {"_hot_keep_id": "keep_id", "_hot_group_size": "group_size"}).select(*out)
+    met = maybe.where("_hot__group IS NULL").select("row", "_key", "_sha").join(
+        groups.where(~large), F.col("_sha") == F.col("_group")).select(*out)
+    return alone.unionByName(near).unionByName(met)
 
 
 def keep_rows(df: DataFrame, text: str = "text", key: str = "doc_id", expected_rows: int | None = None,
