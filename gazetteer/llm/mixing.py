@@ -203,7 +203,8 @@ def plan(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "
     parts = parts.select("row_id", "src", "block", (low - F.col("at")).alias("first"),
                          (low - F.col("block") * block_words).alias("low"),
                          (high - F.col("block") * block_words).alias("high"))
-    pieces = slots.join(parts.hint("merge"), ["src", "block"])  # slots grow with the input.where("low < most")
+    # a merge join, as slots grow with the input
+    pieces = slots.join(parts.hint("merge"), ["src", "block"]).where("low < most")
     pieces = pieces.select("shard", "slot", "turn", "block", "row_id", "first",
                            (F.least("high", "most") - F.col("low")).alias("words"))
     return docs, pieces
