@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetteer.llm import exact_dedup, mixing, packing, quality, sharding, simhash
+from gazetteer.llm import exact_dedup, mixing, packing, quality, sharding, simhash, warc
 from gazetteer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,9 @@ def op1_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components_of(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
