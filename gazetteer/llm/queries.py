@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetteer.llm import exact_dedup, mixing, packing, quality, sharding, simhash, warc
+from gazetteer.llm import exact_dedup, mixing, packing, quality, sharding, simhash, toxicity, warc
 from gazetteer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_and_read(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
