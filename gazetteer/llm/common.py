@@ -18,7 +18,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,7 @@ def bounded(batches: Iterable[pa.RecordBatch], text: str, limit: int = BATCH_BYT
             stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+        pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:

@@ -36,7 +36,7 @@ from gazetteer.llm.common import bounded, texts_of
 
 MAX_LENGTH = 2048
 END_TOKEN = 1
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 200_000
 
 # White space of the tokenizer's pattern, and a few controls beside it that only cost time.
 _SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{180E}\p{Z}]"
