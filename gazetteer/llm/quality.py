@@ -135,8 +135,8 @@ class Forest:
     right: np.ndarray
     value: np.ndarray
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        """Chance of class 1 for each row."""
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """Sum of the leaves that each row reaches, and the start."""
         total = np.full(len(x), self.start)
         rows = np.arange(len(x))
         for root in self.roots:
@@ -149,7 +149,11 @@ class Forest:
                 down = np.where(x[rows, np.maximum(f, 0)] <= self.threshold[node], self.left[node], self.right[node])
                 node = np.where(inner, down, node)
             total += self.value[node]
-        return 1 / (1 + np.exp(-total))
+        return total
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """Chance of class 1 for each row, of a boosted forest."""
+        return 1 / (1 + np.exp(-self.raw(x)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = TREES, depth: int = DEPTH) -> Forest:
@@ -204,8 +208,7 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = TREES, d
         flat = np.array(nodes[first:])
         shift = lambda c: np.where(flat[:, c] >= 0, flat[:, c] - first, -1).astype(np.int64)
         tree = Forest(0.0, np.array([0]), flat[:, 0].astype(np.int64), flat[:, 1], shift(2), shift(3), flat[:, 4])
-        raw = tree.predict(x)
-        score += np.log(raw / (1 - raw))
+        score += tree.raw(x)
     flat = np.array(nodes)
     forest = Forest(start, np.array(roots), flat[:, 0].astype(np.int64), flat[:, 1], flat[:, 2].astype(np.int64),
                     flat[:, 3].astype(np.int64), flat[:, 4])
