@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from gazetteer.llm import exact_dedup, mixing, packing, quality, secret_scan, sharding, simhash, suffix_dedup, toxicity, warc
 from gazetteer.llm.common import table
-from gazetteer.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +83,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = secret_scan.findings(docs, secret_scan.transitions(docs, "text"), secret_scan.dictionary(docs, "text"))
-    found = cut_lineage(found)
-    return secret_scan.judge(found, secret_scan.train(found, secret_scan.weak_labels(found)))
+    chances, words = secret_scan.transitions(docs, "text"), secret_scan.dictionary(docs, "text")
+    found = secret_scan.findings(docs)
+    forest = secret_scan.train(found, secret_scan.weak_labels(found), chances, words)
+    return secret_scan.judge(found, forest, chances, words)

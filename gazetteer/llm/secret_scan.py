@@ -1,7 +1,7 @@
 """Secret scans: a random forest removes the false positives of a candidate pattern.
 
-Candidates are unbroken runs of at least ``LEAST`` letters, digits and ``_+/=-``
-that hold a digit and a letter.  Features: length, kinds of characters, mean
+Candidates are unbroken runs of at least ``LEAST`` letters, digits and ``_+/=-``,
+long words and rules of dashes among them.  Features: length, kinds of characters, mean
 log chance of the character transitions, share covered by dictionary words,
 hashed words before and after, and the hashed path.  Transitions are counted
 over all texts; the dictionary is the ``DICTIONARY`` most frequent lower-case
@@ -55,8 +55,7 @@ def candidates(text: str) -> list[tuple[int, str, str, str]]:
         name, sign, value = body.partition("=")
         if sign and len(value.strip("=")) >= LEAST // 2 and name.replace("_", "").replace("-", "").isalpha():
             start, body = start + len(name) + 1, value
-        if re.search("[0-9]", body) and re.search("[A-Za-z]", body):
-            found.append((start, body, text[max(0, start - 64): start], text[start + len(body): start + len(body) + 32]))
+        found.append((start, body, text[max(0, start - 64): start], text[start + len(body): start + len(body) + 32]))
     return found
 
 
@@ -162,33 +161,25 @@ def vote(forest: Forest, x: np.ndarray) -> np.ndarray:
     return forest.raw(x) / len(forest.roots)
 
 
-def findings(docs: DataFrame, chances: np.ndarray, words: list[str], text: str = "text", key: str = "doc_id",
-             path: str = "source") -> DataFrame:
-    """One row per candidate: doc_id, start, length, candidate, features, assigned."""
-    known = frozenset(words)
+def findings(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = "source") -> DataFrame:
+    """One row per candidate: doc_id, start, candidate, before, after, path, assigned."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(path).cast("string").alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
-            doc, start, body, numbers, assigned = [], [], [], [], []
-            paths = batch.column(2).to_pylist()
-            for i, t in enumerate(texts_of(batch, "text").to_pylist()):
-                for at, c, before, after in candidates(t):
-                    doc.append(i)
-                    start.append(at)
-                    body.append(c)
-                    numbers.append(features(c, before, after, paths[i], chances, known))
-                    assigned.append(bool(NAMING.search(before) or PREFIXED.match(c)))
+            found = [(i, *c) for i, t in enumerate(texts_of(batch, "text").to_pylist()) for c in candidates(t)]
+            doc, start, body, before, after = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [], [], [])
+            assigned = [bool(NAMING.search(b) or PREFIXED.match(c)) for c, b in zip(body, before, strict=True)]
+            take = pa.array(doc, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(start, pa.int64()),
-                 pa.array([len(c) for c in body], pa.int64()), pa.array(body, pa.string()),
-                 pa.array(numbers, pa.list_(pa.float64())), pa.array(assigned, pa.bool_())],
-                names=["doc_id", "start", "length", "candidate", "features", "assigned"])
+                [batch.column(0).take(take), pa.array(start, pa.int64()), pa.array(body, pa.string()), pa.array(before, pa.string()),
+                 pa.array(after, pa.string()), batch.column(2).take(take), pa.array(assigned, pa.bool_())],
+                names=["doc_id", "start", "candidate", "before", "after", "path", "assigned"])
 
     return rows.mapInArrow(run, T.StructType([
         T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("start", T.LongType()),
-        T.StructField("length", T.LongType()), T.StructField("candidate", T.StringType()),
-        T.StructField("features", T.ArrayType(T.DoubleType())), T.StructField("assigned", T.BooleanType())]))
+        *(T.StructField(c, T.StringType()) for c in ("candidate", "before", "after", "path")),
+        T.StructField("assigned", T.BooleanType())]))
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
@@ -196,31 +187,36 @@ def weak_labels(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "start", F.col("assigned").cast("int").alias("label"))
 
 
-def train(found: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Forest | float:
+def train(found: DataFrame, labels: DataFrame, chances: np.ndarray, words: list[str], most: int = TRAIN_ROWS) -> Forest | float:
     """Grow the forest on a bounded sample of labelled findings (doc_id, start, label)."""
-    place = F.xxhash64("_doc", "_start")
+    place, known = F.xxhash64("_doc", "_start"), frozenset(words)
     marked = labels.where("label IS NOT NULL").select(F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), "label")
     few = marked.where("label = 0").orderBy(place, "_doc", "_start").limit(most).unionByName(
-        marked.where("label = 1").orderBy(place, "_doc", "_start").limit(most))
+        marked.where("label = 1").orderBy(place, "_doc", "_start").limit(most)).distinct()
     rows = found.join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("start") == F.col("_start")))
-    rows = sorted(((r["features"], r["label"]) for r in rows.select("features", "label").collect()))
+    rows = rows.select("candidate", "before", "after", "path", "label").collect()
+    rows = sorted((features(r["candidate"], r["before"], r["after"], r["path"], chances, known), r["label"]) for r in rows)
     y = np.array([r[1] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return float(y[0]) if len(y) else 0.0
     return grow_forest(np.array([r[0] for r in rows]), y)
 
 
-def judge(found: DataFrame, forest: Forest | float, threshold: float = 0.5) -> DataFrame:
+def judge(found: DataFrame, forest: Forest | float, chances: np.ndarray, words: list[str], threshold: float = 0.5) -> DataFrame:
     """Findings with score and is_secret."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            chance = (np.full(batch.num_rows, forest) if isinstance(forest, float)
-                      else vote(forest, np.array(batch.column(4).to_pylist())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(chance), pa.array(chance >= threshold)],
-                                             names=["doc_id", "start", "length", "candidate", "score", "is_secret"])
+    known = frozenset(words)
 
-    return found.select("doc_id", "start", "length", "candidate", "features").mapInArrow(run, T.StructType([
-        *[found.schema[c] for c in ("doc_id", "start", "length", "candidate")],
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 4096):
+                batch = whole.slice(low, 4096)
+                columns = [c.to_pylist() for c in batch.columns[2:6]]
+                chance = (np.full(batch.num_rows, forest) if isinstance(forest, float) else vote(
+                    forest, np.array([features(*row, chances, known) for row in zip(*columns, strict=True)])))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pc.utf8_length(batch.column(2)).cast(pa.int64()), pa.array(chance), pa.array(chance >= threshold)],
+                    names=["doc_id", "start", "candidate", "length", "score", "is_secret"])
+
+    return found.select("doc_id", "start", "candidate", "before", "after", "path").mapInArrow(run, T.StructType([
+        *[found.schema[c] for c in ("doc_id", "start", "candidate")], T.StructField("length", T.LongType()),
         T.StructField("score", T.DoubleType()), T.StructField("is_secret", T.BooleanType())]))
