@@ -125,14 +125,14 @@ def tidy_org(name: Column) -> Column:
     shouted = (s == F.upper(s)) & s.rlike(SPACE)
     titled = rewrite(
         s, "[A-Z][A-Z.']*",
-        lambda w: F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, 2, 1000))),
+        lambda w: F.concat(F.substring(w, 1, 1), F.lower(F.substr(w, F.lit(2)))),
     )
     return F.when(shouted, titled).otherwise(s)
 
 
 def label(s: Column) -> Column:
     """Display form of a tool or subject."""
-    out = F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1000))
+    out = F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))
     for raw, shown in vocab.LABELS.items():
         out = F.when(s == raw, F.lit(shown)).otherwise(out)
     return out

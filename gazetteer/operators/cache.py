@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gazetteer import vocab
 from gazetteer.operators.order import first_per, global_rank
+from gazetteer.session import cut_lineage
 
 
 def cache_key(columns: list[str]) -> Column:
@@ -34,13 +35,15 @@ def cached_enrich(
 
     ``cache`` has ``key``, ``stored_at`` and the value columns.  The keep rule
     judges entries when read and when written, so an entry it would not store
-    today counts as a miss.  Each distinct request is produced once.
+    today counts as a miss.  Each distinct request is produced once, by its
+    first row: the produced rows are stored before both results read them.
     """
     asked = todo.withColumn("key", cache_key(key_columns))
     usable = first_per(cache.where(keep(cache)), ["key"], F.desc("stored_at"))
     values = [c for c in usable.columns if c not in ("key", "stored_at")]
-    misses = first_per(asked.join(usable, "key", "left_anti"), ["key"], *[F.col(c) for c in key_columns])
-    produced = produce(misses).select("key", *values)
+    order = ["_ord"] if "_ord" in asked.columns else key_columns
+    misses = first_per(asked.join(usable, "key", "left_anti"), ["key"], *[F.col(c) for c in order])
+    produced = cut_lineage(produce(misses).select("key", *values))
     answers = usable.select("key", *values, F.lit(True).alias("from_cache")).unionByName(
         produced.withColumn("from_cache", F.lit(False)))
     return asked.join(answers, "key"), produced.where(keep(produced))

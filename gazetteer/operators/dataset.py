@@ -48,8 +48,9 @@ def published_schools(schools: DataFrame) -> DataFrame:
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str, out: str) -> DataFrame:
-    """Code to name; a code used twice in the dimension takes its last name."""
-    names = dim.groupBy(F.col(dim_key).alias(key)).agg(F.max_by(value, value).alias(out))
+    """Code to name; a code used twice takes the name of its last row by ``_ord``, or the greatest without one."""
+    last = "_ord" if "_ord" in dim.columns else value
+    names = dim.groupBy(F.col(dim_key).alias(key)).agg(F.max_by(value, last).alias(out))
     return df.join(names, key, "left")
 
 

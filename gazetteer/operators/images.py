@@ -147,7 +147,7 @@ def collapse_groups(images: DataFrame) -> DataFrame:
             members, lambda n, i: F.struct(place(image(n)).alias("p"), i.alias("i"), n.alias("n"))))
         best = image(F.get(ranked, F.lit(0))["n"])["url"]
         rest = F.transform(
-            F.slice(ranked, 2, 1000),
+            F.slice(ranked, F.lit(2), F.size(ranked)),
             lambda r: F.struct(image(r["n"])["url"].alias("url"), best.alias("duplicate_of")))
         real = F.size(members) >= 2
         return F.struct(

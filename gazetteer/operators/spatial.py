@@ -1,9 +1,10 @@
 """Joins by distance, as equi joins on grid cells.
 
 Every point falls into one cell of a latitude/longitude grid whose cells are at
-least one search radius wide.  Only the smaller side is copied to its nine
-neighbouring cells; the join itself is an equi join that AQE may broadcast or
-split when one cell is hot.  Cells hold for latitudes up to 60 degrees.
+least one search radius wide at their latitude; cells of a latitude band close
+across the date line.  Only the smaller side is copied to its nine neighbouring
+cells; the join itself is an equi join that AQE may broadcast or split when one
+cell is hot.
 """
 
 from __future__ import annotations
@@ -18,25 +19,36 @@ from gazetteer.functions.geo import haversine
 
 DEGREES_PER_METRE = 360.0 / (2 * math.pi * vocab.EARTH_M)
 METRES_PER_MILE = vocab.EARTH_M / vocab.EARTH_MILES
-WIDEN = 2.0  # a degree of longitude is at least half a degree of latitude
 
 
 def _cell(c: Column, size: float) -> Column:
     return F.floor(c / F.lit(size)).cast("bigint")
 
 
-def _spread(df: DataFrame, lat: str, lng: str, dlat: float, dlng: float) -> DataFrame:
-    """Copy each row into its own and the eight neighbouring cells."""
-    steps = F.array(*[
-        F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"))
-        for i in (-1, 0, 1) for j in (-1, 0, 1)
-    ])
-    return (
-        df.withColumn("_step", F.explode(steps))
-        .withColumn("_ci", _cell(F.col(lat), dlat) + F.col("_step.i"))
-        .withColumn("_cj", _cell(F.col(lng), dlng) + F.col("_step.j"))
-        .drop("_step")
-    )
+def _around(band: Column, dlat: float) -> Column:
+    """Cells in one turn of a latitude band, each as wide as the radius reaches there.
+
+    Two points within the radius lie in one band or in neighbouring ones, so
+    the widest reach is at the greatest latitude of the band and its neighbours.
+    """
+    edge = F.least((F.abs(band + 0.5) + 1.5) * dlat, F.lit(90.0))
+    sine = F.lit(math.sin(math.radians(dlat) / 2)) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
+    reach = F.degrees(2 * F.asin(F.least(sine, F.lit(1.0))))
+    return F.greatest(F.floor(360.0 / (reach * 1.0001)), F.lit(1)).cast("bigint")
+
+
+def _turn(lng: Column, cells: Column) -> Column:
+    """Cell number of a longitude among the cells of its band; the date line joins the last and the first."""
+    return F.pmod(F.floor((lng + 180.0) / 360.0 * cells).cast("bigint"), cells)
+
+
+def _spread(df: DataFrame, lat: str, lng: str, dlat: float) -> DataFrame:
+    """Copy each row into its own and the neighbouring cells of its own and the neighbouring bands."""
+    bands = df.withColumn("_ci", F.explode(F.array(*[_cell(F.col(lat), dlat) + i for i in (-1, 0, 1)])))
+    bands = bands.withColumn("_n", _around(F.col("_ci"), dlat))
+    own = _turn(F.col(lng), F.col("_n"))
+    near = F.array_distinct(F.array(*[F.pmod(own + j, F.col("_n")) for j in (-1, 0, 1)]))
+    return bands.withColumn("_cj", F.explode(near)).drop("_n")
 
 
 def within(
@@ -49,15 +61,14 @@ def within(
     in metres of the standard sphere.
     """
     dlat = radius_m * DEGREES_PER_METRE * 1.0001
-    dlng = dlat * WIDEN
     placed = (
         left.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
         .withColumn("_ci", _cell(F.col("lat"), dlat))
-        .withColumn("_cj", _cell(F.col("lng"), dlng))
+        .withColumn("_cj", _turn(F.col("lng"), _around(F.col("_ci"), dlat)))
     )
     around = _spread(
         right.where(F.col("r_lat").isNotNull() & F.col("r_lng").isNotNull()),
-        "r_lat", "r_lng", dlat, dlng,
+        "r_lat", "r_lng", dlat,
     )
     limit = radius_m if earth == vocab.EARTH_M else radius_m / METRES_PER_MILE
     d = haversine(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"), earth)

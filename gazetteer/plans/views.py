@@ -11,18 +11,12 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazetteer.sources.files import spread
-
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
 
-# Tables whose rows are texts, worked on row by row.
-TEXTS = ["documents", "pages"]
-
-
 def _lat(k: str, a: int) -> str:
     return f"40.60 + (({k}*{k}*31 + {k}*7919 + {a}) % 10007) / CAST(10007 AS DOUBLE) * 0.05"
 
@@ -121,7 +115,7 @@ SELECT p_partkey AS _ord, 'Org ' || CAST(p_partkey % 45 AS STRING) || ' Inc' AS
   CASE WHEN p_partkey % 4 > 0 THEN {_pick("p_partkey", ["program-photo", "flyer", "program-photo"])} END AS kind,
   CASE WHEN p_partkey % 4 > 0 THEN CAST(p_partkey % 11 AS BIGINT) END AS suitability,
   (200 + p_partkey*53 % 3800 >= 600) AS carousel_ready
-FROM {{part}} WHERE p_partkey % 9 < 2
+FROM {{part}}
 """
 
 VIEWS["zip_requests"] = """
@@ -247,8 +241,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a derived view as a DataFrame."""
     if name in BASE:
-        rows = table(spark, sf_dir, name)
-        return spread(rows) if name in TEXTS else rows
+        return table(spark, sf_dir, name)
     text = VIEWS[name]
     inputs = {n: view(spark, sf_dir, n) for n in _names(text)}
     return spark.sql(text, **inputs)

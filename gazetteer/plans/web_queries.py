@@ -246,7 +246,7 @@ _RE = {k: v.replace("'", "''") for k, v in {"ph": vocab.PARKED_HOSTS, "pt": voca
 # Signals of a host: the first three of the title of its lowest page.
 SQL_SIGNALS = f"""titles AS (SELECT host, regexp_extract(html, '(?i)<title[^>]*>([\\s\\S]{{0,300}}?)</title>', 1) AS title
     FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY _ord) AS rn FROM web_pages) WHERE rn = 1),
-  signals AS (SELECT host, ({sql_signals('title')})[1:3] AS signals FROM titles)"""
+  signals AS (SELECT host, {sql_signals('title')} AS signals FROM titles)"""
 SQL_JUDGE = f"""j0 AS (SELECT *, {SQL_IDENTITY} AS identity, {SQL_VISIBLE} AS text FROM asked),
   j1 AS (SELECT *, list_filter(signals, lambda s: contains(identity, s)) AS hit,
     list_filter(signals, lambda s: contains(identity || ' ' || lower(text), s)) AS found,
@@ -265,7 +265,7 @@ SQL_JUDGE = f"""j0 AS (SELECT *, {SQL_IDENTITY} AS identity, {SQL_VISIBLE} AS te
 def _signals(spark, d):
     title = F.regexp_extract("html", r"(?i)<title[^>]*>([\s\S]{0,300}?)</title>", 1)
     first = O.first_per(view(spark, d, "web_pages"), ["host"], F.col("_ord"))
-    return first.select("host", F.slice(T.name_signals(title), 1, 3).alias("signals"))
+    return first.select("host", T.name_signals(title).alias("signals"))
 
 
 @query("q_verify_pages", f"""WITH {SQL_SIGNALS}, asked AS (SELECT w.*, s.signals, w._ord % 3 = 0 AS curated FROM web_pages w JOIN signals s ON s.host = w.host),
