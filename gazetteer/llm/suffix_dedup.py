@@ -12,7 +12,9 @@ Equal strings lie in items with equal anchor hashes.
 1. Anchor hashes are counted, with the least and greatest hash of a context.
    Hashes met twice or more become a bitmap of at most ``MAX_BITS`` bits; so do
    those with different contexts.  A bitmap that is too small lets more items
-   through, which the join of step 2 removes.
+   through, which the join of step 2 removes.  Items of an anchor with over a
+   thousandth of all repeated ones are dealt to numbered lots there, one for
+   each such part; there are at most ``SHARE`` such anchors and twice as many lots.
 2. A second pass emits only items whose anchor may be repeated.  Where all
    contexts of an anchor are equal, every string in them repeats.
 3. Other contexts, once each, are suffix-sorted together per anchor (ranks of
@@ -51,6 +53,7 @@ LENGTH, GRAM = 200, 64
 MAX_BITS = 1 << 28
 LARGE = 4096
 SORT_BYTES = 1 << 20
+SHARE = 1000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -115,6 +118,14 @@ def _may(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
+def _lots(ah: np.ndarray, hot: np.ndarray, lots: np.ndarray) -> np.ndarray:
+    """Number of lots of each anchor: that of a hot one, else one."""
+    if not len(hot):
+        return np.ones(len(ah), np.int64)
+    at = np.minimum(np.searchsorted(hot, ah), len(hot) - 1)
+    return np.where(hot[at] == ah, lots[at], 1)
+
+
 def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     """Bitmap of a column ``ah`` of hashes, at most ``bits`` / 8 bytes."""
     cell = F.col("ah").bitwiseAND(F.lit(bits - 1).cast("long")) + 1  # from one on, bucket 1 + cell / 32768 holds bit cell % 32768
@@ -258,8 +269,11 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, keep_first: bool = Fa
 
     met = rows.select("text").mapInArrow(narrow, "ah long, ch long").groupBy("ah").agg(
         F.count(F.lit(1)).alias("n"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("n > 1")
-    met = cut_lineage(met.selectExpr("ah", "lo <> hi AS mixed"))
-    n = met.count()
+    met = cut_lineage(met.selectExpr("ah", "n", "lo <> hi AS mixed"))
+    n, total = met.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    lots = F.ceil(F.col("n") * SHARE / F.lit(max(total, 1))).cast("long")  # one but for hot anchors
+    hot = met.where(lots > 1).select("ah", lots.alias("lots")).orderBy("ah").collect()  # at most SHARE rows
+    hot_anchor, hot_lots = (np.array([r[i] for r in hot], np.int64) for i in (0, 1))
     bits = 1 << 15
     while bits < 16 * n and bits < max_bits:
         bits *= 2
@@ -276,16 +290,21 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, keep_first: bool = Fa
             contexts = [body[a: a + m - 1 + length] if x else None
                         for a, m, x in zip(low.tolist(), n.tolist(), _may(mixed, ah).tolist(), strict=True)]
             take = pa.array(doc)
+            start = low - offsets[:-1][doc]
+            with np.errstate(over="ignore"):
+                drawn = _mix(batch.column(3).to_numpy().view(np.uint64)[doc] + start.astype(np.uint64)) >> np.uint64(1)
+            lot = drawn.view(np.int64) % _lots(ah.view(np.int64), hot_anchor, hot_lots)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(2).take(take), pa.array(low - offsets[:-1][doc]), pa.array(n),
-                 pa.array(ah.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(contexts, pa.binary())],
-                names=["key", "th", "start", "starts", "ah", "ch", "ctx"])
+                [batch.column(0).take(take), batch.column(2).take(take), pa.array(start), pa.array(n), pa.array(ah.view(np.int64)),
+                 pa.array(ch.view(np.int64)), pa.array(lot), pa.array(contexts, pa.binary())],
+                names=["key", "th", "start", "starts", "ah", "ch", "lot", "ctx"])
 
-    found = rows.select("key", "text", "th").mapInArrow(wide, T.StructType([
+    found = rows.select("key", "text", "th", F.xxhash64("key", "th")).mapInArrow(wide, T.StructType([
         T.StructField("key", rows.schema["key"].dataType), T.StructField("th", T.LongType()), T.StructField("start", T.LongType()),
         T.StructField("starts", T.LongType()), T.StructField("ah", T.LongType()), T.StructField("ch", T.LongType()),
-        T.StructField("ctx", T.BinaryType())]))
-    found = found.join(met.withColumnRenamed("ah", "_ah"), F.col("ah") == F.col("_ah")).drop("_ah")
+        T.StructField("lot", T.LongType()), T.StructField("ctx", T.BinaryType())]))
+    dealt = met.select(F.col("ah").alias("_ah"), "mixed", F.explode(F.sequence(F.lit(0).cast("long"), lots - 1)).alias("_lot"))
+    found = found.join(dealt, (F.col("ah") == F.col("_ah")) & (F.col("lot") == F.col("_lot"))).drop("_ah", "lot", "_lot")
     where = F.struct("key", "th", "start")
     same = found.where("NOT mixed").select("key", "th", "start", "starts", "ah")
     if keep_first:
@@ -323,7 +342,7 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     back = back.join(solved, (F.col("ah") == F.col("_ah")) & (F.col("ch") == F.col("_ch"))).select("key", "th", "start", chosen.alias("runs"))
     back = back.where(F.size("runs") > 0).select("key", "th", F.transform(
         "runs", lambda x, i: F.when(i % 2 == 0, x + F.col("start")).otherwise(x.cast("long"))).alias("spans"))
-    return same.unionByName(back).groupBy("key", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return same.unionByName(back).groupBy("key", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def cut(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, keep_first: bool = False,

@@ -326,6 +326,24 @@ def test_suffix_dedup(docs, empty, large):
     assert suffix_dedup.cut(empty).count() == 0
 
 
+def test_suffix_dedup_hot_anchor(spark):
+    """Lots of a hot anchor change nothing: many copies, one of them longer, and a row repeated."""
+    passage = "".join(chr(97 + i * i % 23) for i in range(230))
+    rows = [(i, f"{i}" + passage + ("" if i % 3 else "z" * (i % 5))) for i in range(300)] + [(7, "7" + passage)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.cut(df).select("doc_id", "n_removed").collect()
+    assert len(got) == len(rows)
+    count = collections.Counter(t[a: a + 200] for _, t in rows for a in range(len(t) - 199))
+    want = []
+    for i, t in rows:
+        gone = set()
+        for a in range(len(t) - 199):
+            if count[t[a: a + 200]] > 1:
+                gone.update(range(a, a + 200))
+        want.append((i, len(gone)))
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_previous_factors():
     g = np.random.default_rng(4)
     for _ in range(20):
