@@ -42,14 +42,20 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """Label each text with the lowest key of its group of near-copies.
 
+    A group is a connected component: texts of one source are linked where they
+    share a bucket and their true Jaccard similarity reaches the threshold.
+
     Exact copies fold first.  The rest fall into buckets by MinHash bands; in
-    each round the lowest open key of a bucket leads it, and texts whose true
-    Jaccard similarity to a leader reaches the threshold join that leader.  A
-    bucket therefore yields one pair per open text and round, never all pairs.
-    Rounds end when every text has met each leader of its buckets; links then
-    run to the lowest label of their component.
+    each round the lowest open key of a bucket leads it, and texts near enough
+    to the leader join it and leave the bucket.  A text that leaves may still
+    be linked to one that stays: Jaccard distance is a metric, so only texts
+    whose similarities to their leader differ by at most 1 - threshold can be,
+    and just those meet.  A tight group thus yields one pair per open text and
+    round, never all pairs.  Rounds end when no bucket has two open texts; links
+    then run to the lowest label of their component.
     """
-    hashed = texts.select(group, key, F.sha2("text", 256).alias("_sha"), "text")
+    text = F.coalesce("text", F.lit(""))
+    hashed = texts.select(group, key, F.sha2(text, 256).alias("_sha"), text.alias("text"))
     lead = hashed.groupBy(group, "_sha").agg(F.min(key).alias("_lead"))
     copies = hashed.select(group, key, "_sha").join(lead, [group, "_sha"]).select(key, "_lead")
     single = hashed.join(lead.select(F.col("_lead").alias(key)), key, "left_semi")
@@ -66,15 +72,15 @@ def near_duplicate_groups(
         met = crowd.where(F.col(key) != F.col("_leader"))
         if met.isEmpty():
             break
-        pairs = met.select(key, "_leader").distinct()
-        sets = marked.select(key, "_sh")
-        close = cut_lineage(
-            pairs.join(sets, key)
-            .join(sets.select(F.col(key).alias("_leader"), F.col("_sh").alias("_lsh")), "_leader")
-            .where(jaccard(F.col("_sh"), F.col("_lsh")) >= threshold).select(key, "_leader"))
+        scored = cut_lineage(_scored(met.select(key, "_leader").distinct(), marked, key))
+        met = cut_lineage(met.join(scored, [key, "_leader"]))
+        left, stay = met.where(F.col("_j") >= threshold), met.where(F.col("_j") < threshold)
+        close = scored.where(F.col("_j") >= threshold).select(key, "_leader")
+        across = _scored(_across(left, stay, [group, "_bucket"], key, 1 - threshold), marked, key)
+        across = cut_lineage(across.where(F.col("_j") >= threshold).select(key, "_leader"))
         links = close if links is None else links.unionByName(close)
-        # Whoever joined a leader leaves its buckets of that leader.
-        open_rows = cut_lineage(met.join(close, [key, "_leader"], "left_anti").select(group, key, "_bucket"))
+        links = links.unionByName(across)
+        open_rows = stay.select(group, key, "_bucket")
     labels = _components(links, key) if links is not None else None
     out = copies
     if labels is not None:
@@ -85,6 +91,30 @@ def near_duplicate_groups(
     return out.select(key, "label")
 
 
+def _scored(pairs: DataFrame, marked: DataFrame, key: str) -> DataFrame:
+    """Pairs of ``key`` and ``_leader`` with their Jaccard similarity ``_j``."""
+    sets = marked.select(key, "_sh")
+    return (
+        pairs.join(sets, key)
+        .join(sets.select(F.col(key).alias("_leader"), F.col("_sh").alias("_lsh")), "_leader")
+        .select(key, "_leader", jaccard(F.col("_sh"), F.col("_lsh")).alias("_j")))
+
+
+def _across(left: DataFrame, stay: DataFrame, bucket: list[str], key: str, reach: float) -> DataFrame:
+    """Pairs of a text that stays (``key``) and one that left (``_leader``) that may be linked.
+
+    The extremes of each side cut the other before the two meet.
+    """
+    reach = reach + 1e-9  # similarities are floating-point numbers
+    lowest = left.groupBy(*bucket).agg(F.min("_j").alias("_low"))
+    highest = stay.groupBy(*bucket).agg(F.max("_j").alias("_high"))
+    near = stay.join(lowest, bucket).where(F.col("_low") - F.col("_j") <= reach).select(*bucket, key, "_j")
+    far = left.join(highest, bucket).where(F.col("_j") - F.col("_high") <= reach)
+    far = far.select(*bucket, F.col(key).alias("_leader"), F.col("_j").alias("_lj"))
+    met = near.join(far, bucket).where(F.col("_lj") - F.col("_j") <= reach)
+    return met.select(key, "_leader").distinct()
+
+
 def _components(links: DataFrame, key: str) -> DataFrame:
     """Lowest key of each linked component, by passing labels along the links."""
     edges = cut_lineage(

@@ -94,7 +94,16 @@ def staleness(spark, d):
         "input", F.unix_micros("changed_at").alias("changed_us"), "stale")
 
 
-@query("q_near_duplicates")
+@query("q_near_duplicates", """WITH RECURSIVE t AS (
+  SELECT source, doc_id, split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+  u AS (SELECT source, doc_id, len(w) AS size, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM t),
+  s AS (SELECT DISTINCT source, doc_id, hash(concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o)) AS h
+    FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i) QUALIFY i = 1 OR i + 4 <= size),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.source = b.source AND a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE shared / (na.n + nb.n - shared) >= 0.7),
+  r AS (SELECT doc_id AS a, doc_id AS label FROM documents UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.a)
+  SELECT a AS doc_id, min(label) AS label FROM r GROUP BY 1""")
 def near_duplicates(spark, d):
     """Near-copies among the documents; similarity is checked on the shingles themselves."""
     return near_duplicate_groups(view(spark, d, "documents"))

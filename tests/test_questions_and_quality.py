@@ -1,5 +1,7 @@
 """Question parsing and answers; stage checks that must not pass for nothing."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,16 +115,8 @@ def test_a_stale_build_names_its_inputs(spark):
     assert got == {"facts": True, "photos": False}
 
 
-def test_near_copies_equal_brute_force(spark):
-    base = ["one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".replace("o", c) for c in "oxyz"]
-    texts = []
-    for b in base:
-        words = b.split()
-        texts += [b, b, " ".join([*words, "plus"]), " ".join([*words, "plus", "more"])]
-    texts += ["short", "something else altogether that nobody wrote before today in this place", ""]
-    rows = [(i, "s", t) for i, t in enumerate(texts)] + [(99, "other", texts[0])]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = {r["doc_id"]: r["label"] for r in near_duplicate_groups(df, 0.7).collect()}
+def assert_groups(df, threshold=0.7):
+    got = {r["doc_id"]: r["label"] for r in near_duplicate_groups(df, threshold).collect()}
     sets = {r["doc_id"]: (r["source"], frozenset(r["s"]), r["text"]) for r in df.select("doc_id", "source", "text", shingles(F.col("text")).alias("s")).collect()}
     parent = {i: i for i in sets}
 
@@ -133,7 +127,30 @@ def test_near_copies_equal_brute_force(spark):
 
     for i, (g, a, t) in sets.items():
         for j, (h, b, u) in sets.items():
-            if i < j and g == h and (t == u or (a and b and len(a & b) / len(a | b) >= 0.7)):
+            if i < j and g == h and (t == u or (a and b and len(a & b) / len(a | b) >= threshold)):
                 x, y = sorted((find(i), find(j)))
                 parent[y] = x
     assert got == {i: find(i) for i in sets}
+
+
+def test_near_copies_equal_brute_force(spark):
+    base = ["one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".replace("o", c) for c in "oxyz"]
+    texts = []
+    for b in base:
+        words = b.split()
+        texts += [b, b, " ".join([*words, "plus"]), " ".join([*words, "plus", "more"])]
+    texts += ["short", "something else altogether that nobody wrote before today in this place", ""]
+    rows = [(i, "s", t) for i, t in enumerate(texts)] + [(99, "other", texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert_groups(df)
+
+
+def test_near_copies_in_chains(spark):
+    """Neighbours are near, others are not; keys are shuffled, so that leaders sit inside the chains."""
+    rows = []
+    for chain in range(3):
+        words = [f"w{chain}x{i * i % 997}" for i in range(90)]
+        rows += [(chain, " ".join(words[i * 4: i * 4 + 48])) for i in range(9)]
+    order = random.Random(3).sample(range(len(rows)), len(rows))
+    df = spark.createDataFrame([(k, "s", t) for k, (_, t) in zip(order, rows, strict=True)], "doc_id long, source string, text string")
+    assert_groups(df)
