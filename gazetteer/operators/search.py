@@ -14,6 +14,7 @@ from gazetteer.functions.text import label, tidy_org
 from gazetteer.functions.values import intersect_vocab, literal_array, union_ordered
 from gazetteer.operators.order import first_per
 from gazetteer.operators.spatial import METRES_PER_MILE, nearest, within
+from gazetteer.session import cut_lineage
 
 
 def card_subjects(subjects: Column, tools: Column) -> Column:
@@ -151,18 +152,24 @@ def nearest_zip(points: DataFrame, centroids: DataFrame) -> DataFrame:
         "point_id", F.col("target").alias("zip"), F.col("distance").alias("miles"))
 
 
+def asked_zips(requests: DataFrame) -> DataFrame:
+    """Each distinct ZIP asked for, trimmed, with its number of ``requests``."""
+    return requests.groupBy(F.trim("zip").alias("zip")).agg(F.count(F.lit(1)).alias("requests"))
+
+
 def search_zip(
     cards: DataFrame, requests: DataFrame, centroids: DataFrame,
     spill_miles: float = vocab.SPILLOVER_MILES,
 ) -> DataFrame:
     """Programs in the asked ZIP, nearest first; else those around it.
 
-    Each distinct ZIP is searched once and its answer joined to the requests.
-    ``none`` (not a ZIP) and ``unknown`` (no centre) return one row without a
-    program: the caller keeps its list.
+    One answer per distinct ZIP, which a request reads by its ZIP: rows grow
+    with the ZIPs, not with requests times programs.  ``none`` (not a ZIP) and
+    ``unknown`` (no centre) return one row without a program: the caller keeps
+    its list.
     """
-    asked = requests.withColumn("zip", F.trim("zip"))
-    known = asked.select("zip").distinct().join(_centres(centroids), "zip")
+    asked = asked_zips(requests)
+    known = asked.select("zip").join(_centres(centroids), "zip")
     own = cards.where("zip <> ''").select("id", "_ord", "zip", "lat", "lng")
     in_zip = (
         known.join(_located(own), "zip")
@@ -185,7 +192,7 @@ def search_zip(
     return (
         asked.join(_centres(centroids), "zip", "left")
         .join(served.withColumn("has_own", F.lit(True)), "zip", "left")
-        .select("request_id", "zip", status.alias("kind"))
+        .select("zip", "requests", status.alias("kind"))
         .join(answers.drop("kind"), "zip", "left")
         .withColumn("distance", distance_text(F.col("miles")))
     )
@@ -194,18 +201,24 @@ def search_zip(
 def search_radius(
     cards: DataFrame, requests: DataFrame, centroids: DataFrame, radius: float = vocab.RADIUS_MILES
 ) -> DataFrame:
-    """Programs within a radius of the asked ZIP's centre, and how far the nearest is."""
-    asked = requests.withColumn("zip", F.trim("zip"))
-    known = asked.select("zip").distinct().join(_centres(centroids), "zip")
-    around = within(
+    """Programs within a radius of each asked ZIP's centre, and how far the nearest is.
+
+    One answer per distinct ZIP, as in ``search_zip``.  Only ZIPs with nothing
+    in the radius search further for the nearest program.
+    """
+    asked = asked_zips(requests)
+    known = asked.select("zip").join(_centres(centroids), "zip")
+    around = cut_lineage(within(
         _located(cards).select("id", "_ord", "lat", "lng"),
         known.select("zip", F.col("c_lat").alias("r_lat"), F.col("c_lng").alias("r_lng")),
         radius * METRES_PER_MILE, vocab.EARTH_MILES, "miles",
-    ).select("zip", "id", "_ord", "miles")
-    closest = nearest(
-        known.select(F.col("zip").alias("point_id"), F.col("c_lat").alias("lat"), F.col("c_lng").alias("lng")),
+    ).select("zip", "id", "_ord", "miles"))
+    closest = around.groupBy("zip").agg(F.min("miles").alias("nearest_miles"))
+    bare = known.join(closest, "zip", "left_anti")
+    closest = closest.unionByName(nearest(
+        bare.select(F.col("zip").alias("point_id"), F.col("c_lat").alias("lat"), F.col("c_lng").alias("lng")),
         _targets(cards),
-    ).select(F.col("point_id").alias("zip"), F.col("distance").alias("nearest_miles"))
+    ).select(F.col("point_id").alias("zip"), F.col("distance").alias("nearest_miles")))
     measured = _centres(centroids).select("zip", F.lit(True).alias("measured"))
     return (
         asked.join(measured, "zip", "left").join(closest, "zip", "left").join(around, "zip", "left")

@@ -16,7 +16,7 @@ from gazetteer.plans.views import view
 PV = I.PROGRAM_VIEWS
 BOX = (40.61, 40.63, -73.98, -73.96)
 BASE = f"WITH {I.SQL_PROGRAMS}, {I.SQL_CARDS}"
-ZIPPED = f"WITH {I.SQL_PROGRAMS}, {I.SQL_ZIPS}, {I.SQL_CARDS}, asked AS (SELECT request_id, trim(zip) AS zip FROM zip_requests)"
+ZIPPED = f"WITH {I.SQL_PROGRAMS}, {I.SQL_ZIPS}, {I.SQL_CARDS}, asked AS (SELECT trim(zip) AS zip, count(*) AS requests FROM zip_requests GROUP BY 1)"
 M = I.sql_haversine("z.lat", "z.lng", "c.lat", "c.lng", vocab.EARTH_MILES)
 
 
@@ -103,25 +103,25 @@ def nearest(spark, d):
 
 
 @query("q_search_zip", f"""{ZIPPED},
-  status AS (SELECT a.request_id, a.zip, CASE WHEN NOT regexp_full_match(a.zip, '[0-9]{{5}}') THEN 'none' WHEN z.zip IS NULL THEN 'unknown'
+  status AS (SELECT a.zip, a.requests, CASE WHEN NOT regexp_full_match(a.zip, '[0-9]{{5}}') THEN 'none' WHEN z.zip IS NULL THEN 'unknown'
     WHEN EXISTS (SELECT 1 FROM cards c WHERE c.zip = a.zip AND c.lat IS NOT NULL AND c.lng IS NOT NULL) THEN 'in-zip' ELSE 'nearby' END AS kind
     FROM asked a LEFT JOIN zips z ON z.zip = a.zip)
-  SELECT s.request_id, s.zip, s.kind, c.id, round(c.m, 3) AS miles, printf('%.1f', c.m) || ' mi' AS distance FROM status s LEFT JOIN (
+  SELECT s.zip, s.requests, s.kind, c.id, round(c.m, 3) AS miles, printf('%.1f', c.m) || ' mi' AS distance FROM status s LEFT JOIN (
     SELECT z.zip AS z, c.id, c.zip AS cz, {M} AS m FROM zips z JOIN cards c ON c.lat IS NOT NULL AND c.lng IS NOT NULL) c
   ON c.z = s.zip AND ((s.kind = 'in-zip' AND c.cz = s.zip) OR (s.kind = 'nearby' AND c.m <= 2))""", (*PV, "zip_requests"))
 def search_zip(spark, d):
     return Q.search_zip(I.places(spark, d), view(spark, d, "zip_requests"), I.centres(spark, d)).select(
-        "request_id", "zip", "kind", "id", F.round("miles", 3).alias("miles"), "distance")
+        "zip", "requests", "kind", "id", F.round("miles", 3).alias("miles"), "distance")
 
 
 @query("q_search_radius", f"""{ZIPPED}, m AS (SELECT z.zip, c.id, {M} AS m FROM zips z JOIN cards c ON c.lat IS NOT NULL AND c.lng IS NOT NULL)
-  SELECT a.request_id, a.zip, z.zip IS NOT NULL AS measured, round(n.nm, 3) AS nearest_miles, m.id, round(m.m, 3) AS miles, printf('%.1f', m.m) || ' mi' AS distance
+  SELECT a.zip, a.requests, z.zip IS NOT NULL AS measured, round(n.nm, 3) AS nearest_miles, m.id, round(m.m, 3) AS miles, printf('%.1f', m.m) || ' mi' AS distance
   FROM asked a LEFT JOIN zips z ON z.zip = a.zip LEFT JOIN (SELECT zip, min(m) AS nm FROM m GROUP BY 1) n ON n.zip = a.zip
   LEFT JOIN m ON m.zip = a.zip AND m.m <= 1""", (*PV, "zip_requests"))
 def search_radius(spark, d):
     return Q.search_radius(I.places(spark, d), view(spark, d, "zip_requests"), I.centres(spark, d)).select(
-        "request_id", "zip", "measured", F.round("nearest_miles", 3).alias("nearest_miles"), "id",
-        F.round("miles", 3).alias("miles"), "distance").orderBy("request_id", "miles", "id")
+        "zip", "requests", "measured", F.round("nearest_miles", 3).alias("nearest_miles"), "id",
+        F.round("miles", 3).alias("miles"), "distance").orderBy("zip", "miles", "id")
 
 
 @query("q_cap_with_total", f"""{BASE} SELECT borough, id, count(*) OVER (PARTITION BY borough) AS total FROM cards

@@ -123,7 +123,7 @@ SELECT c_custkey AS request_id,
   CASE WHEN c_custkey % 31 = 7 THEN 'abc' WHEN c_custkey % 31 = 8 THEN '1000'
     WHEN c_custkey % 31 = 9 THEN ' ' || CAST(10000 + c_custkey % 120 AS STRING) || ' '
     ELSE CAST(10000 + c_custkey % 120 AS STRING) END AS zip
-FROM {customer} WHERE c_nationkey = 3
+FROM {customer}
 """
 
 VIEWS["web_pages"] = """
