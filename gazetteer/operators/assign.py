@@ -85,11 +85,13 @@ def fill_tiles(rows: DataFrame, pool: DataFrame, n: int = vocab.TILES) -> DataFr
     """
     gaps = rows.withColumn("_gap", F.greatest(F.lit(n) - F.col("have"), F.lit(0))).where("_gap > 0")
     starts = running_sum(gaps, ["subject"], "_ord", F.col("_gap"), "_through")
-    place = F.col("claimed").cast("int") * F.lit(1 << 40) + F.col("_ord")
-    slots = exact_rank(pool.withColumn("_place", place), ["subject"], "_place", "_slot", 1 << 38)
-    sizes = pool.groupBy("subject").agg(F.count(F.lit(1)).alias("_size"))
+    pool = pool.withColumn("_taken", F.coalesce("claimed", F.lit(False)))
+    sizes = pool.groupBy("subject").agg(F.count(F.lit(1)).alias("_size"), F.count_if(~F.col("_taken")).alias("_open"))
+    # Claimed photos are ranked by themselves and go on where the unclaimed end.
+    slots = exact_rank(pool, ["subject", "_taken"], "_ord", "_slot").join(sizes.select("subject", "_open"), "subject")
+    slots = slots.withColumn("_slot", F.col("_slot") + F.when(F.col("_taken"), F.col("_open")).otherwise(F.lit(0)))
     wanted = (
-        starts.join(sizes, "subject")
+        starts.join(sizes.drop("_open"), "subject")
         .withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_gap"))))
         .where(F.col("_k") < F.col("_size"))
         .withColumn("_slot", (F.col("_through") - F.col("_gap") + F.col("_k")) % F.col("_size") + 1)

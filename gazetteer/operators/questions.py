@@ -42,7 +42,7 @@ def place_phrases(catalog: DataFrame) -> DataFrame:
     """Neighbourhood and location names long enough to look for, in catalog order."""
     names = catalog.select("_ord", F.posexplode(F.array("neighborhood", "location")).alias("_at", "_name"))
     phrase = F.trim(F.regexp_replace(F.lower("_name"), ",.*$", ""))
-    return names.select(phrase.alias("phrase"), (F.col("_ord") * 2 + F.col("_at")).alias("place_ord")).where(
+    return names.select(phrase.alias("phrase"), F.struct("_ord", "_at").alias("place_ord")).where(
         F.length("phrase") >= 5).groupBy("phrase").agg(F.min("place_ord").alias("place_ord"))
 
 
@@ -52,7 +52,7 @@ def place_words(catalog: DataFrame) -> DataFrame:
     return (
         names.select("_ord", F.posexplode(words).alias("_at", "word"))
         .where((F.length("word") >= 5) & ~F.col("word").isin(vocab.PLACE_SKIP))
-        .groupBy("word").agg(F.min(F.col("_ord") * 1000 + F.col("_at")).alias("place_ord"))
+        .groupBy("word").agg(F.min(F.struct("_ord", "_at")).alias("place_ord"))
     )
 
 

@@ -187,3 +187,12 @@ def test_tiles_never_repeat_in_a_row(spark):
     for pid, _, _, have, main in rows:
         tiles = by_id[pid]
         assert len(tiles) == 3 - have == len(set(tiles)) and main not in tiles
+
+
+def test_tiles_take_unclaimed_photos_first_for_any_order_number(spark):
+    rows = [("x", "a", 0, 2, None)]
+    pool = [("a", "claimed", True, 1), ("a", "free", False, 2**41)]
+    got = A.fill_tiles(
+        spark.createDataFrame(rows, "id string, subject string, _ord long, have int, main string"),
+        spark.createDataFrame(pool, "subject string, src string, claimed boolean, _ord long")).collect()
+    assert [r["src"] for r in got] == ["free"]
