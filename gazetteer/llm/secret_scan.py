@@ -1,7 +1,15 @@
 """Secret scans: a random forest removes the false positives of a candidate pattern.
 
-Candidates are unbroken runs of at least ``LEAST`` letters, digits and ``_+/=-``,
-long words and rules of dashes among them.  Features: length, kinds of characters, mean
+Candidates are
+- unbroken runs of at least ``LEAST`` letters, digits and ``_+/=-``, long words and
+  rules of dashes among them; a name that assigns the rest of its run is not part of it;
+- whole values after a naming word and a sign, of at least ``LEAST_VALUE`` characters of
+  any kind: in quotes to the closing quote of the line, else to white space or to the
+  name of the next assignment;
+- passwords of that length in ``scheme://user:password@host``.
+A run that is no whole value is a candidate beside the value it lies in.
+
+Features: length, kinds of characters, mean
 log chance of the character transitions, share covered by dictionary words,
 hashed words before and after, and the hashed path.  Transitions are counted
 over all texts; the dictionary is the ``DICTIONARY`` most frequent lower-case
@@ -10,8 +18,10 @@ words of all texts.  The forest is grown in numpy on labelled findings, at most
 arrays.
 
 Findings are (doc_id, start, length) in code points.  Where nobody has labelled
-any, ``weak_labels`` marks those that a naming word assigns or that carry a
-known key prefix, and leaves the forest to judge by the other features.
+any, ``weak_labels`` marks those that a naming word or a URL assigns or that carry a
+known key prefix, and leaves the forest to judge by the other features.  A run farther
+inside a value and a short word of letters without quotes ("password: required") get no
+label: they are judged, and nothing is learnt from them.
 
 Defined cases: a null or empty text has no findings; a null path is a path of
 its own; labels of one class only score that class for all, none score 0;
@@ -23,7 +33,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +47,7 @@ from pyspark.sql import types as T
 from gazetteer.llm.common import bounded, raw_bytes, split_words, texts_of
 from gazetteer.llm.quality import Forest
 
-LEAST = 16
+LEAST, LEAST_VALUE = 16, 6
 DICTIONARY, TRAIN_ROWS = 2000, 3000
 TREES, DEPTH, LEAF, BINS = 40, 8, 3, 24
 WORD_CELLS, PATH_CELLS = 24, 8
@@ -43,22 +55,79 @@ SEED = 11
 
 # What a candidate is, the words that assign secrets, prefixes of issued keys.
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{%d,}" % LEAST)
-NAMING = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?$")
+NAMING = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"'`]?\]?\s*[=:]+>?\s*")
+NAMING_PARTS = ("password", "passwd", "pwd", "secret", "token", "key")
+QUOTED = {q: re.compile(rf"(?:\\.|[^{q}\\\n])*+(?={q})") for q in "\"'`"}
+BARE = re.compile(r"\S+")
+CREDENTIAL = re.compile(r"://[^\s/:@]*:([^\s/]+)@")
 PREFIXED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{36}$|xox[abprs]-|sk_live_|AIza[A-Za-z0-9_-]{35}$")
 
 
-def candidates(text: str) -> list[tuple[int, str, str, str]]:
-    """(start, candidate, text before, text after) of every candidate; an assigned name is not part of it."""
-    found = []
-    for m in CANDIDATE.finditer(text):
-        start, body = m.start(), m.group()
-        name, sign, value = body.partition("=")
-        if sign and len(value.strip("=")) >= LEAST // 2 and name.replace("_", "").replace("-", "").isalpha():
-            start, body = start + len(name) + 1, value
-        found.append((start, body, text[max(0, start - 64): start], text[start + len(body): start + len(body) + 32]))
+def values(text: str) -> dict[tuple[int, int], bool | None]:
+    """(start, end) of every assigned value and URL password; None for one that a weak label cannot be drawn from."""
+    low, names = text.lower(), []
+    if any(part in low for part in NAMING_PARTS):
+        names = list(NAMING.finditer(text))
+    found: dict[tuple[int, int], bool | None] = {}
+    bare_end = run_end = 0
+    for i, m in enumerate(names):
+        start, quote = m.end(), text[m.end(): m.end() + 1]
+        closed = QUOTED[quote].match(text, start + 1) if quote in QUOTED else None
+        if closed:
+            start, end = closed.span()
+        else:
+            start += quote in QUOTED
+            if start >= run_end:
+                bare = BARE.match(text, start)
+                run_end = bare.end() if bare else start
+            if m.start() < bare_end:  # without a separator it is part of the value around it
+                continue
+            end = bare_end = run_end
+            floor, j = start, i + 1
+            while j < len(names) and names[j].start() < end:
+                at = names[j].start()
+                while at > floor and (text[at - 1].isalnum() or text[at - 1] in "_.-"):
+                    at -= 1
+                if at > floor:
+                    end = bare_end = at - 1
+                floor, j = names[j].end(), j + 1
+        if end - start >= LEAST_VALUE:
+            plain = not closed and end - start < LEAST and text[start:end].isalpha()
+            found[start, end] = None if plain else True
+    for m in CREDENTIAL.finditer(text):
+        if m.end(1) - m.start(1) >= LEAST_VALUE:
+            found[m.span(1)] = True
     return found
 
 
+def marked(text: str) -> list[tuple[int, str, str, str, bool | None]]:
+    """The candidates in order of place, each with its weak label."""
+    spans = values(text)
+    opened = sorted(spans)
+    starts, edges, reach = [v for v, _ in opened], sorted({at for v in opened for at in v}), list(accumulate((v for _, v in opened), max))
+    for m in CANDIDATE.finditer(text):
+        cuts = [m.start(), *edges[bisect_right(edges, m.start()): bisect_left(edges, m.end())], m.end()]
+        for start, end in pairwise(cuts):
+            name, sign, value = text[start:end].partition("=")
+            bare = sign and name.replace("_", "").replace("-", "").isalpha()
+            if start == m.start() and end == m.end() and bare and len(value.strip("=")) >= LEAST // 2:
+                start += len(name) + 1
+            elif end - start < LEAST or bare and not value and end < m.end():
+                continue
+            if (start, end) not in spans:
+                at = bisect_right(starts, start)
+                inside = at > 0 and reach[at - 1] >= end
+                known = PREFIXED.match(text[start:end]) or inside and starts[at - 1] == start
+                spans[start, end] = True if known else None if inside else False
+    return [(start, text[start:end], text[max(0, start - 64): start], text[end: end + 32], label)
+            for (start, end), label in sorted(spans.items(), key=lambda x: x[0])]
+
+
+def candidates(text: str) -> list[tuple[int, str, str, str]]:
+    """(start, candidate, text before, text after) of every candidate."""
+    return [c[:4] for c in marked(text)]
+
+
 def transitions(docs: DataFrame, text: str) -> np.ndarray:
     """Log chance of each next byte after each byte, over all texts; at most 65,536 counts reach the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +180,8 @@ def features(body: str, before: str, after: str, path: str | None, chances: np.n
         for w in part:
             near[side * WORD_CELLS + _cell(w.lower(), WORD_CELLS)] += 1
     near[2 * WORD_CELLS + _cell(path or "", PATH_CELLS)] = 1
-    return [float(len(body)), *kinds, float(sum(c in "_+/=-" for c in body)), len(set(body)) / len(body), changes / len(body),
+    return [float(len(body)), *kinds, float(sum(c in "_+/=-" for c in body)),
+            float(sum(not c.isalnum() and c not in "_+/=-" for c in body)), len(set(body)) / len(body), changes / len(body),
             float(chances[raw[:-1], raw[1:]].mean()), covered / len(low), float(before[-1:] in ("=", '"', "'", ":")), *near]
 
 
@@ -167,9 +237,8 @@ def findings(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
-            found = [(i, *c) for i, t in enumerate(texts_of(batch, "text").to_pylist()) for c in candidates(t)]
-            doc, start, body, before, after = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [], [], [])
-            assigned = [bool(NAMING.search(b) or PREFIXED.match(c)) for c, b in zip(body, before, strict=True)]
+            found = [(i, *c) for i, t in enumerate(texts_of(batch, "text").to_pylist()) for c in marked(t)]
+            doc, start, body, before, after, assigned = (list(x) for x in zip(*found, strict=True)) if found else ([] for _ in range(6))
             take = pa.array(doc, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), pa.array(start, pa.int64()), pa.array(body, pa.string()), pa.array(before, pa.string()),
@@ -183,7 +252,7 @@ def findings(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """(doc_id, start, label): 1 where a naming word or a key prefix marks the finding."""
+    """(doc_id, start, label): 1 where a naming word, a URL or a key prefix marks the finding, null where nothing is known."""
     return found.select("doc_id", "start", F.col("assigned").cast("int").alias("label"))
 
 

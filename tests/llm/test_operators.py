@@ -410,6 +410,55 @@ def test_secret_scan(spark, empty):
     assert secret_scan.findings(empty).count() == 0
 
 
+@pytest.mark.parametrize("text, values", [
+    ('password = "Tr0ub4dor&3"', ["Tr0ub4dor&3"]), ("db_password: hunter2abc", ["hunter2abc"]),
+    ('pwd="S3cret!Passw0rd#2024" x', ["S3cret!Passw0rd#2024"]), ("postgres://u:p4ssw0rdX@host/db", ["p4ssw0rdX"]),
+    ("amqp://u:p@ss:w0rd@host/db", ["p@ss:w0rd"]), ("database_password=hunter2", ["hunter2"]),
+    ('{"api_key": "a b\\"c d", "token": \'x.y.z.w\'}', ['a b\\"c d', "x.y.z.w"]), ("password=hunter2&db_token=abc.def", ["hunter2", "abc.def"]),
+    ("password=hunter2/secret=abcdef99 more", ["hunter2", "abcdef99"]), ("secret: 日本語9パスワード", ["日本語9パスワード"]),
+    ('secret={"pwd":"Tr0ub4dor&3"}', ["Tr0ub4dor&3"]), ("password=pw1 pwd=''", []), ("password = ", []), ('token: "never closed', []),
+    ("secret_sauce password-free text", []),
+])
+def test_short_and_punctuated_secrets(text, values):
+    found = secret_scan.marked(text)
+    assert all(text[at: at + len(body)] == body for at, body, _, _, _ in found)
+    assert [body for _, body, _, _, label in found if label] == values
+
+
+def test_runs_beside_values():
+    """Parts of a value teach nothing; runs elsewhere stay negatives; a short plain word is judged without a label."""
+    text = 'client_secret = "aB1~x.Y2_z3-Q4w5E6r7T8y9" and antidismentationness; password: required'
+    assert [(c[1], c[4]) for c in secret_scan.marked(text)] == [
+        ("aB1~x.Y2_z3-Q4w5E6r7T8y9", True), ("Y2_z3-Q4w5E6r7T8y9", None), ("antidismentationness", False), ("required", None)]
+    assert [c[1] for c in secret_scan.candidates("checksum=0123456789abcdef")] == ["0123456789abcdef"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(
+    st.sampled_from(["password=", "token: ", '"', "x1y2z3w4", "&", "://u:", "@h", "_", "/", " ", "secret", "'", "é\n"]), max_size=20).map("".join))
+def test_every_run_is_covered(text):
+    found = secret_scan.marked(text)
+    places = [(at, at + len(body)) for at, body, *_ in found]
+    assert len(set(places)) == len(places) and all(text[a:b] == c[1] for (a, b), c in zip(places, found, strict=True))
+    for run in re.finditer(r"[A-Za-z0-9_+/-]{16,}(?!=)", text):
+        if not re.search("secret|token|password", run[0]):
+            assert any(a < run.end() and run.start() < b for a, b in places)
+
+
+def test_short_secrets_are_judged(spark):
+    g = random.Random(8)
+    rows = []
+    for i in range(300):
+        value = "".join(g.choice("abcXYZ0123456789!#&.~") for _ in range(g.randint(8, 12)))
+        word = "".join(g.choice(["anti", "dis", "ment", "ation", "ness"]) for _ in range(6))
+        rows.append((i, f'the thing password = "{value}" of {word} and more', "s1"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    chances, words = secret_scan.transitions(docs, "text"), secret_scan.dictionary(docs, "text")
+    found = secret_scan.findings(docs)
+    got = secret_scan.judge(found, secret_scan.train(found, secret_scan.weak_labels(found), chances, words), chances, words).collect()
+    assert len(got) == 600 and all(r["is_secret"] == (r["length"] <= 12) for r in got)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
