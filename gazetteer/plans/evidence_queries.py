@@ -95,6 +95,19 @@ def quote_around(spark, d):
         "doc_id", "f.name", T.quote_around(F.col("text"), F.col("f.m.pos"), F.col("f.m.len")).alias("quote"))
 
 
+@query("q_quote_around_all", f"""WITH {SQL_MATCHES}, {SQL_QUOTES} SELECT doc_id, name, pos, quote FROM quotes""")
+def quote_around_all(spark, d):
+    """A quote around every match, where q_quote_around shows the first one of each word."""
+    text = F.col("text")
+
+    def quotes(word):
+        return F.transform(T.match_positions(text, java(PATTERNS[word])), lambda m: F.struct(
+            F.lit(word).alias("name"), m["pos"].cast("bigint").alias("pos"), T.quote_around(text, m["pos"], m["len"]).alias("quote")))
+
+    quoted = F.flatten(F.array(*[quotes(w) for w in SINGLE]))
+    return view(spark, d, "documents").select("doc_id", F.explode(quoted).alias("q")).select("doc_id", "q.*")
+
+
 @query("q_usable_quote", f"""SELECT doc_id, count(*) FILTER ({sql_usable('line')}) AS usable, count(*) AS lines FROM
   (SELECT doc_id, unnest(split(text || chr(10) || 'Home About Programs Adult' || chr(10) || 'One Two Three Four Five Six Seven Eight Nine Ten', chr(10))) AS line FROM documents) GROUP BY 1""")
 def usable_quote(spark, d):

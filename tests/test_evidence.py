@@ -1,11 +1,13 @@
 """Quotes, claims, phrase joins and keyword facts."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from gazetteer.functions import text as T
 from gazetteer.operators import evidence as E
+from gazetteer.plans.evidence_queries import quote_around_all
 from gazetteer.vocab import SUBJECT_GROUPS, SUBJECT_PATTERNS, SUBJECT_VOCAB
 
 L = F.lit
@@ -110,6 +112,14 @@ def test_all_positions(one):
     assert [(m["pos"], m["len"]) for m in got] == [(0, 6), (10, 5), (20, 6)]
 
 
+def test_every_match_is_quoted(spark, tmp_path):
+    text = "One of them. " + "Plain words here. " * 12 + "Two of those. " + "Plain words here. " * 12 + "Three OF these."
+    spark.createDataFrame([(1, text), (2, "none"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = quote_around_all(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [(r["doc_id"], r["name"], r["pos"]) for r in got] == [(1, "of", m.start()) for m in re.finditer("(?i)of", text)]
+    assert [r["quote"] for r in got] == ["One of them.", "Two of those.", "Three OF these."]
+
+
 def facts(spark, *texts):
     pages = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "provider string, _ord int, text string")
     return E.keyword_facts(pages).first()
