@@ -228,3 +228,14 @@ def keyword_search(spark, d):
     asked = docs.where("lang = 'en'").select(
         F.col("doc_id").alias("qid"), F.regexp_replace(F.lower(three), "['’]", "").alias("q"))
     return E.keyword_search(asked, docs.select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text")))
+
+
+@query("q_keyword_search_all", f"""WITH asked AS (SELECT lower(replace(replace(q, chr(39), ''), '’', '')) AS q FROM (SELECT array_to_string(split(text, ' ')[2:4], ' ') AS q FROM documents)),
+  w AS (SELECT coalesce(array_to_string(list_sort(list_distinct({_QW})), ' '), '') AS words, count(*) AS questions FROM asked GROUP BY 1), t AS (SELECT doc_id, lower(text) AS t FROM documents)
+  SELECT words, questions, doc_id AS text_id FROM w LEFT JOIN t ON words <> '' AND len(list_filter(split(words, ' '), lambda x: NOT contains(t, x))) = 0""")
+def keyword_search_all(spark, d):
+    """Questions from the texts of every language, answered once per distinct set of words."""
+    docs = view(spark, d, "documents")
+    three = F.array_join(F.slice(F.split("text", " "), 2, 3), " ")
+    asked = docs.select(F.regexp_replace(F.lower(three), "['’]", "").alias("q"))
+    return E.keyword_sets(asked, docs.select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text")))

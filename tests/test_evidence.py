@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gazetteer.functions import text as T
 from gazetteer.operators import evidence as E
-from gazetteer.plans.evidence_queries import quote_around_all
+from gazetteer.plans.evidence_queries import keyword_search_all, quote_around_all
 from gazetteer.vocab import SUBJECT_GROUPS, SUBJECT_PATTERNS, SUBJECT_VOCAB
 
 L = F.lit
@@ -120,6 +120,13 @@ def test_every_match_is_quoted(spark, tmp_path):
     assert [r["quote"] for r in got] == ["One of them.", "Two of those.", "Three OF these."]
 
 
+def test_questions_of_every_language_are_answered(spark, tmp_path):
+    rows = [(1, "a robots chess club", "en"), (2, "x chess robots club more", "fr"), (3, "y jardin lumi ere", "de"), (4, None, "en"), (5, "one", "es"), (6, "z don't", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, keyword_search_all(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([("chess club robots", 2, 1), ("chess club robots", 2, 2), ("ere jardin lumi", 1, 3), ("dont", 1, None), ("", 2, None)], key=repr)
+
+
 def facts(spark, *texts):
     pages = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "provider string, _ord int, text string")
     return E.keyword_facts(pages).first()
