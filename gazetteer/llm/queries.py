@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetteer.llm import exact_dedup, mixing, packing, quality, secret_scan, sharding, simhash, suffix_dedup, toxicity, warc
+from gazetteer.llm import (
+    divergence,
+    exact_dedup,
+    mixing,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    warc,
+    whitening,
+)
 from gazetteer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +113,40 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.findings(docs)
     forest = secret_scan.train(found, secret_scan.weak_labels(found), chances, words)
     return secret_scan.judge(found, forest, chances, words)
+
+
+@query
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_divergence_audit"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+  w AS (SELECT r, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+  c AS (SELECT lang, source, term, count(*)::HUGEINT AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+  k AS (SELECT lang, term, sum(n)::HUGEINT AS total FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  s AS (SELECT lang, count(*) AS v, sum(total)::HUGEINT AS words FROM k GROUP BY lang),
+  t AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.total
+    FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+  u AS (SELECT t.*, v, words, (sum(n) OVER (PARTITION BY lang, source))::HUGEINT AS own FROM t JOIN s USING (lang)),
+  p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (own + 2 * v) AS p,
+    1 + (1000000000::HUGEINT * (total + 2)) // (words + 2 * v) AS q FROM u),
+  f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+    FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+  term AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+    FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)))::INT AS rank FROM pair
+UNION ALL
+SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)))::INT AS rank FROM term
+  QUALIFY rank <= 10
+"""
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("key", "vec_id")
