@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gazetteer.llm import (
     divergence,
     exact_dedup,
+    lattice,
     mixing,
     packing,
     quality,
@@ -150,3 +151,8 @@ SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, enc
 @query
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("key", "vec_id")
+
+
+@query
+def op11_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.link(table(spark, sf_dir, "embeddings")).withColumnRenamed("key", "vec_id")
