@@ -1,10 +1,10 @@
 """Questions answered from the catalog, many at once.
 
 Questions are reduced to their distinct texts, and those to distinct filters,
-before the catalog is touched.  Filters and programs meet in equi joins: on the
-ZIP asked near, on a place name, or on a topic.  Filters with none of these ask
-about cost, hours, days or age only; they meet one row per combination of those
-values, not the programs.
+before the catalog is touched.  The catalog folds into cells: programs alike in
+cost, hours, days, ages and topics become one row with their number and the
+first few of them.  Cells are folded again for each place or ZIP asked about;
+filters meet the cells of their place, never the programs.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from gazetteer import vocab
 from gazetteer.functions import asking as A
-from gazetteer.operators.evidence import contains_join, keyword_search
+from gazetteer.operators.evidence import keyword_search
 from gazetteer.operators.order import top_per
+from gazetteer.operators.phrases import contains_join
 from gazetteer.operators.spatial import METRES_PER_MILE, within
 from gazetteer.session import cut_lineage
 
@@ -119,13 +120,6 @@ def _facts_match() -> Column:
     return cost_ok & after_ok & before_ok & kind_ok & days_ok & age_ok & group_ok
 
 
-def _named_match() -> Column:
-    topics_ok = (F.size("f_topics") == 0) | F.arrays_overlap("f_topics", "topic_hits")
-    places_ok = (F.size("f_places") == 0) | F.exists(
-        "f_places", lambda p: F.contains(F.col("blob"), p))
-    return topics_ok & places_ok
-
-
 PROFILE = ["is_free", "hoursKind", "start_min", "end_min", "days", "ageMin", "ageMax"]
 
 
@@ -150,55 +144,74 @@ def near_zip(
     ).select("near_zip", "id", "miles")
 
 
+def _folded(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Merge folded rows: one per ``keys`` with its ``size`` and its ``first`` n programs.
+
+    A folded row stands for many programs: their number and the first few of
+    them as sorted structs.  Folding folded rows gives the same as folding the
+    programs, so the same step serves at every level.
+    """
+    lead = top_per(rows.select(*keys, F.explode("first").alias("_lead")), keys, [F.col("_lead")], n).drop("_rn")
+    sizes = rows.select(*keys, "size", F.lit(None).cast(lead.schema["_lead"].dataType).alias("_lead"))
+    both = sizes.unionByName(lead.withColumn("size", F.lit(0).cast("bigint")))
+    return both.groupBy(*keys).agg(F.sum("size").alias("size"), F.array_sort(F.collect_list("_lead")).alias("first"))
+
+
+def _single(miles: Column) -> list[Column]:
+    """A program as a folded row of its own, placed by distance and catalog order."""
+    at = F.struct(miles.cast("double").alias("miles"), F.col("_ord").alias("_ord"), F.col("id").alias("id"))
+    return [F.lit(1).cast("bigint").alias("size"), F.array(at).alias("first")]
+
+
+def region_cube(regions: DataFrame, catalog: DataFrame, centroids: DataFrame, n: int = vocab.RESULT_LIMIT) -> DataFrame:
+    """Programs of each region by what else a filter may ask: (region, cell, size, first).
+
+    ``regions``: region, f_near_zip, f_places; region ``''`` is the whole
+    catalog.  Programs fold by place text and cell before any region is met, so
+    a region meets place texts or ZIPs, never programs one by one.  A program
+    has one place text, so no program is counted twice where a region names
+    several places.
+    """
+    rows = searchable(catalog).withColumn("cell", F.struct(*PROFILE, "topic_hits"))
+    by_blob = cut_lineage(_folded(rows.select("blob", "cell", *_single(F.lit(None))), ["blob", "cell"], n))
+    whole = _folded(by_blob.drop("blob"), ["cell"], n).withColumn("region", F.lit(""))
+
+    placed = regions.where("region <> '' AND f_near_zip IS NULL")
+    spoken = placed.select("region", F.explode("f_places").alias("place"))
+    in_blob = contains_join(
+        spoken.select(F.col("place").alias("phrase_id"), F.col("place").alias("phrase")).distinct(),
+        by_blob.select(F.col("blob").alias("text_id"), F.col("blob").alias("text")).distinct())
+    in_region = spoken.join(in_blob, F.col("place") == F.col("phrase_id")).select(
+        "region", F.col("text_id").alias("blob")).distinct()
+    by_place = _folded(in_region.join(by_blob, "blob").drop("blob"), ["region", "cell"], n)
+
+    near = regions.where("f_near_zip IS NOT NULL")
+    pool = near_zip(near.select(F.col("f_near_zip").alias("near_zip")), rows, centroids)
+    pool = pool.join(rows.select("id", "_ord", "blob", "cell"), "id")
+    by_zip = _folded(pool.select("near_zip", "blob", "cell", *_single(F.col("miles"))), ["near_zip", "blob", "cell"], n)
+    told = (F.size("f_places") == 0) | F.exists("f_places", lambda p: F.contains(F.col("blob"), p))
+    by_near = _folded(
+        near.join(by_zip, F.col("f_near_zip") == F.col("near_zip")).where(told).select("region", "cell", "size", "first"),
+        ["region", "cell"], n)
+    return whole.unionByName(by_place).unionByName(by_near)
+
+
 def match_filters(filters: DataFrame, catalog: DataFrame, centroids: DataFrame, n: int = vocab.RESULT_LIMIT) -> DataFrame:
-    """First ``n`` programs of each distinct filter (``sig``), with the full count."""
-    rows = searchable(catalog)
+    """First ``n`` programs of each distinct filter (``sig``), with the full count.
+
+    A filter meets the cells of its region: what is asked beside the place has
+    few values, and a cell carries its number of programs and its first ``n``.
+    """
     asked = filters.select("sig", *[F.col(f).alias(f"f_{f}") for f in FILTERS])
-    near = asked.where("f_near_zip IS NOT NULL")
-    placed = asked.where("f_near_zip IS NULL AND size(f_places) > 0")
-    topical = asked.where("f_near_zip IS NULL AND size(f_places) = 0 AND size(f_topics) > 0")
-    broad = asked.where("f_near_zip IS NULL AND size(f_places) = 0 AND size(f_topics) = 0")
-
-    near_pairs = near.select("sig", F.col("f_near_zip").alias("near_zip")).join(
-        near_zip(near.select(F.col("f_near_zip").alias("near_zip")), rows, centroids), "near_zip"
-    ).select("sig", "id", "miles")
-    spoken = placed.select("sig", F.explode("f_places").alias("place"))
-    blobs = rows.select(F.col("blob").alias("text")).distinct().withColumn("text_id", F.xxhash64("text"))
-    in_blob = contains_join(
-        spoken.select(F.col("place").alias("phrase_id"), F.col("place").alias("phrase")).distinct(), blobs)
-    no_miles = F.lit(None).cast("double").alias("miles")
-    place_pairs = (
-        spoken.join(in_blob, F.col("place") == F.col("phrase_id"))
-        .join(rows.select("id", F.xxhash64("blob").alias("text_id")), "text_id")
-        .select("sig", "id", no_miles).distinct()
-    )
-    topic_pairs = (
-        topical.select("sig", F.explode("f_topics").alias("topic"))
-        .join(rows.select("id", F.explode("topic_hits").alias("topic")), "topic")
-        .select("sig", "id", no_miles).distinct()
-    )
-    pairs = near_pairs.unionByName(place_pairs).unionByName(topic_pairs)
-    matched = (
-        pairs.join(asked, "sig").join(rows, "id").where(_facts_match() & _named_match())
-        .select("sig", "id", "miles", "_ord")
-    )
-    totals = matched.groupBy("sig").agg(F.count(F.lit(1)).alias("total"))
-    first = top_per(matched, ["sig"], [F.col("miles"), F.col("_ord")], n).join(totals, "sig")
-
-    # One row per combination of cost, hours, days and ages, with its own first n.
-    keyed = rows.withColumn("profile", F.xxhash64(*PROFILE))
-    profiles = keyed.groupBy("profile").agg(
-        F.count(F.lit(1)).alias("size"), *[F.first(c).alias(c) for c in PROFILE])
-    leading = top_per(keyed.select("profile", "id", "_ord"), ["profile"], [F.col("_ord")], n)
-    accepts = F.when(F.col("f_cost") == "free", F.array(F.lit(True))).when(
-        F.col("f_cost").isNotNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
-    fits = broad.withColumn("is_free", F.explode(accepts)).join(profiles, "is_free").where(_facts_match())
-    broad_total = fits.groupBy("sig").agg(F.sum("size").alias("total"))
-    broad_first = top_per(
-        fits.select("sig", "profile").join(leading.drop("_rn"), "profile"), ["sig"], [F.col("_ord")], n
-    ).join(broad_total, "sig")
-    columns = ["sig", "id", "_rn", "total"]
-    return first.select(*columns).unionByName(broad_first.select(*columns)).withColumnRenamed("_rn", "place")
+    anywhere = F.col("f_near_zip").isNull() & (F.size("f_places") == 0)
+    asked = asked.withColumn("region", F.when(anywhere, "").otherwise(F.to_json(F.struct("f_near_zip", "f_places"))))
+    regions = asked.select("region", "f_near_zip", "f_places").dropDuplicates(["region"])
+    cube = cut_lineage(region_cube(regions, catalog, centroids, n))
+    topics_ok = (F.size("f_topics") == 0) | F.arrays_overlap("f_topics", "topic_hits")
+    fits = asked.join(cube, "region").select(*asked.columns, "cell.*", "size", "first").where(_facts_match() & topics_ok)
+    found = _folded(fits.select("sig", "size", "first"), ["sig"], n)
+    return found.select("sig", F.col("size").alias("total"), F.posexplode("first").alias("_at", "_lead")).select(
+        "sig", F.col("_lead.id").alias("id"), (F.col("_at") + 1).alias("place"), "total")
 
 
 def has_filters() -> Column:

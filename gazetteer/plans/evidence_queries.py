@@ -239,3 +239,16 @@ def keyword_search_all(spark, d):
     three = F.array_join(F.slice(F.split("text", " "), 2, 3), " ")
     asked = docs.select(F.regexp_replace(F.lower(three), "['’]", "").alias("q"))
     return E.keyword_sets(asked, docs.select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text")))
+
+
+@query("q_keyword_answers", f"""WITH asked AS (SELECT lower(replace(replace(q, chr(39), ''), '’', '')) AS q FROM (SELECT array_to_string(split(text, ' ')[2:4], ' ') AS q FROM documents)),
+  w AS (SELECT coalesce(array_to_string(list_sort(list_distinct({_QW})), ' '), '') AS words, count(*) AS questions FROM asked GROUP BY 1), t AS (SELECT doc_id, lower(text) AS t FROM documents),
+  p AS (SELECT words, doc_id, row_number() OVER (PARTITION BY words ORDER BY doc_id) AS rn FROM w JOIN t ON words <> '' AND len(list_filter(split(words, ' '), lambda x: NOT contains(t, x))) = 0)
+  SELECT w.words, w.questions, count(p.doc_id) AS total, coalesce(string_agg(p.doc_id::VARCHAR, ' ' ORDER BY p.doc_id) FILTER (p.rn <= 8), '') AS first FROM w LEFT JOIN p ON p.words = w.words GROUP BY 1, 2""")
+def keyword_answers(spark, d):
+    """What the search answers: how many texts hold all words of a set, and the first eight."""
+    docs = view(spark, d, "documents")
+    three = F.array_join(F.slice(F.split("text", " "), 2, 3), " ")
+    asked = docs.select(F.regexp_replace(F.lower(three), "['’]", "").alias("q"))
+    found = E.keyword_answers(asked, docs.select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text")))
+    return found.withColumn("first", F.array_join(F.transform("first", lambda x: x.cast("string")), " "))
