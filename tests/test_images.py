@@ -3,13 +3,14 @@
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gazetteer.operators import assign as A
 from gazetteer.operators import images as M
 from gazetteer.operators.dataset import photo_rank
-from gazetteer.sources.images import header_size, image_inventory
+from gazetteer.sources.images import frame_sizes, image_inventory, read_image_files
 
 PNG = b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR"
 
@@ -19,7 +20,7 @@ def jpeg(w, h, app0=True):
     return head + b"\xff\xc0\x00\x08\x08" + struct.pack(">HH", h, w) + bytes(18)
 
 
-@pytest.mark.parametrize("data, want", [
+HEADERS = [
     (PNG + struct.pack(">II", 800, 600), (800, 600, "image/png")),
     (b"GIF89a" + struct.pack("<HH", 120, 90) + bytes(14), (120, 90, "image/gif")),
     (jpeg(1024, 768), (1024, 768, "image/jpeg")),
@@ -27,9 +28,45 @@ def jpeg(w, h, app0=True):
     (b"RIFF\0\0\0\0WEBPVP8X" + bytes(8) + (1599).to_bytes(3, "little") + (1199).to_bytes(3, "little") + bytes(2), (1600, 1200, "image/webp")),
     (b"RIFF\0\0\0\0WEBPVP8L" + bytes(16), (0, 0, "image/webp")),
     (bytes(8), None), (b"<!DOCTYPE html>" + b" " * 40, None), (jpeg(800, 600)[:12], None), (None, None),
-])
-def test_headers(data, want):
-    assert header_size(data) == want
+]
+
+
+def test_headers(spark):
+    files = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, (b, _) in enumerate(HEADERS)], "path int, content binary")
+    got = {r["path"]: (r["width"], r["height"], r["mime"]) for r in image_inventory(files).collect()}
+    assert [got[i] for i in range(len(HEADERS))] == [want or (None, None, None) for _, want in HEADERS]
+
+
+def test_frames_of_many_files_at_once():
+    """Each file alone and all together, with padding, long segments, false frames and cut files."""
+    rng = random.Random(8)
+    bodies, want = [], []
+    for _ in range(200):
+        body = b"\xff\xd8"
+        for _ in range(rng.randrange(5)):
+            size = rng.randrange(2, 400)
+            body += bytes([0xFF, rng.choice([0xE0, 0xE1, 0xC4, 0xC8, 0xCC, 0xDB])]) + struct.pack(">H", size) + rng.randbytes(size - 2)
+            body += bytes(rng.randrange(3))
+        w, h = rng.randrange(1, 5000), rng.randrange(1, 5000)
+        whole = rng.random() < 0.8
+        body += b"\xff\xc2\x00\x11\x08" + struct.pack(">HH", h, w) + bytes(12) if whole else b""
+        bodies.append(body)
+        want.append((w, h) if whole else (0, 0))
+    bodies += [b"", None, b"\xff\xd8", b"\xff" * 50]
+    together = list(zip(*(x.tolist() for x in frame_sizes(pa.array(bodies, pa.binary()))), strict=True))
+    assert together[:200] == want and together[200:203] == [(0, 0)] * 3
+    for body, size in zip(bodies, together, strict=True):
+        assert [x.tolist()[0] for x in frame_sizes(pa.array([body], pa.binary()))] == list(size)
+
+
+def test_inventory_of_files_spark_lists(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.jpg").write_bytes(jpeg(30, 40))
+    (tmp_path / "deep" / "b.png").write_bytes(PNG + struct.pack(">II", 7, 9))
+    (tmp_path / "deep" / "c.txt").write_bytes(b"no image at all, only words here")
+    rows = image_inventory(read_image_files(spark, str(tmp_path))).collect()
+    assert sorted((r["path"].rsplit("/", 1)[1], r["width"], r["height"], r["mime"]) for r in rows) == [
+        ("a.jpg", 30, 40, "image/jpeg"), ("b.png", 7, 9, "image/png"), ("c.txt", None, None, None)]
 
 
 def test_inventory_keeps_unreadable_files(spark):
