@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazetteer import vocab
-from gazetteer.operators.order import exact_rank, first_per, running_sum, top_per
+from gazetteer.operators.order import BUCKET, exact_rank, first_per, global_rank, running_sum, top_per
 from gazetteer.session import cut_lineage
 
 
@@ -75,6 +75,100 @@ def pool_photos(programs: DataFrame, pool: DataFrame, reserved: DataFrame | None
     return own.unionByName(rest)
 
 
+def _exhaustions(placed: DataFrame, sizes: dict[str, int], bucket: int) -> list[tuple[int, list[str], str | None]]:
+    """Phases of a walk in which programs draw from subject piles.
+
+    A program (pos, subject) takes from its subject's pile or, where that is
+    empty or missing, from the first pile that is not (``sizes`` is in that
+    order).  Returns (last pos, piles left, pile for overflow) of each phase;
+    a phase ends with the draw that empties a pile.
+
+    Within a phase each pile is drawn by known subjects only, so it is empty at
+    a known count of their programs.  Counts per range of positions find the
+    range, rows of that one range find the place.  Subjects are few: their
+    totals are all that reaches the driver.
+    """
+    ranged = placed.select("subject", "pos", F.floor(F.col("pos") / bucket).alias("_range"))
+    totals = cut_lineage(ranged.groupBy("_range", "subject").agg(F.count(F.lit(1)).alias("n")))
+    spark = placed.sparkSession
+    left, phases, done, end = dict(sizes), [], {}, 0
+    every = {r["subject"]: r["n"] for r in totals.groupBy("subject").agg(F.sum("n").alias("n")).collect()}
+    while any(left.values()):
+        live = [s for s, n in left.items() if n]
+        draws = {s: [s] for s in live}
+        draws[live[0]] = [live[0], *[s for s in every if s not in live]]
+        # How many programs of its subjects there are in all when a pile is empty.
+        goal = {s: left[s] + sum(done.get(x, 0) for x in who) for s, who in draws.items()}
+        needs = [(s, x, goal[s]) for s, who in draws.items() for x in who if sum(every.get(y, 0) for y in who) >= goal[s]]
+        if not needs:
+            break
+        asked = F.broadcast(spark.createDataFrame(needs, "pile string, subject string, goal long"))
+        upto = Window.partitionBy("pile").orderBy("_range")
+        reach = totals.join(asked, "subject").groupBy("pile", "goal", "_range").agg(F.sum("n").alias("n"))
+        reach = reach.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") >= F.col("goal"))
+        at = reach.groupBy("pile", "goal").agg(F.min_by(F.struct("_range", (F.col("upto") - F.col("n")).alias("before")), "_range").alias("at"))
+        found = at.select("pile", F.col("goal").alias("_goal"), "at.*").collect()
+        first = min(r["_range"] for r in found)
+        here = [(r["pile"], x, r["_goal"] - r["before"]) for r in found if r["_range"] == first for x in draws[r["pile"]]]
+        asked = F.broadcast(spark.createDataFrame(here, "pile string, subject string, nth long"))
+        nth = F.row_number().over(Window.partitionBy("pile").orderBy("pos"))
+        hit = ranged.where(F.col("_range") == first).join(asked, "subject").withColumn("_nth", nth).where("_nth = nth")
+        end, pile = hit.agg(F.min(F.struct("pos", "pile"))).first()[0]
+        passed = totals.where(F.col("_range") < first).select("subject", "n").unionByName(
+            ranged.where((F.col("_range") == first) & (F.col("pos") <= end)).select("subject", F.lit(1).cast("bigint").alias("n")))
+        phases.append((end, live, live[0]))
+        before, done = done, {r["subject"]: r["n"] for r in passed.groupBy("subject").agg(F.sum("n").alias("n")).collect()}
+        for s, who in draws.items():
+            left[s] -= sum(done.get(x, 0) - before.get(x, 0) for x in who)
+    live = [s for s, n in left.items() if n]
+    return [*phases, (2**62, live, live[0] if live else None)]
+
+
+def walk_pool(programs: DataFrame, pool: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Pool photos as a walk in order would hand them out: (id, source).
+
+    ``programs``: id, subject, _ord.  ``pool``: subject, source, _ord; a photo
+    listed by several subjects belongs to the first.  Every program takes the
+    next photo of its subject, else the next of the first subject, in pool order,
+    that has one left.
+    """
+    photos = first_per(pool, ["source"], F.col("_ord"))
+    piles = photos.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.min("_ord").alias("_at")).orderBy("_at").collect()
+    placed = cut_lineage(global_rank(programs.select("id", "subject", "_ord"), "_ord", "pos", bucket))
+    taken_from = F.lit(None).cast("string")
+    for end, live, spill in reversed(_exhaustions(placed, {r["subject"]: r["n"] for r in piles}, bucket)):
+        pile = F.when(F.col("subject").isin(live), F.col("subject")).otherwise(F.lit(spill).cast("string"))
+        taken_from = F.when(F.col("pos") <= end, pile).otherwise(taken_from)
+    drawn = placed.withColumn("pile", taken_from).where("pile IS NOT NULL")
+    # Whoever draws from a pile gets its photos one after the other.
+    turn = exact_rank(drawn.select("id", "pile", "pos"), ["pile"], "pos", "_turn", bucket)
+    lying = exact_rank(photos.select(F.col("subject").alias("pile"), "source", "_ord"), ["pile"], "_ord", "_turn", bucket)
+    return turn.join(lying.select("pile", "_turn", "source"), ["pile", "_turn"]).select("id", "source")
+
+
+def assign_photos(
+    programs: DataFrame, photos: DataFrame, pool: DataFrame, local: DataFrame, bucket: int = BUCKET
+) -> DataFrame:
+    """One picture for each program, no picture twice: (id, way, picture).
+
+    ``programs``: id, provider, subject, _ord.  ``way`` is the first that has a
+    picture left: ``own`` (an unused photo of the organisation), ``pool`` (a
+    pool photo of the subject, then of any subject), ``local`` (the subject's
+    stock photo, for the first program that needs it) or ``none``.  ``local``:
+    subject, source; these and own photos are never handed out by the pool.
+    """
+    own = cut_lineage(own_photos(programs, photos).withColumnRenamed("photo", "picture"))
+    waiting = programs.join(own, "id", "left_anti")
+    reserved = local.select("source").unionByName(own.select(F.col("picture").alias("source"))).distinct()
+    pooled = cut_lineage(walk_pool(waiting, pool.join(reserved, "source", "left_anti"), bucket).withColumnRenamed("source", "picture"))
+    still = waiting.join(pooled, "id", "left_anti")
+    free = local.join(own.select(F.col("picture").alias("source")), "source", "left_anti")
+    stock = first_per(still.join(free, "subject"), ["source"], F.col("_ord")).select("id", F.col("source").alias("picture"))
+    ways = [df.select("id", F.lit(way).alias("way"), "picture") for way, df in (("own", own), ("pool", pooled), ("local", stock))]
+    served = ways[0].unionByName(ways[1]).unionByName(ways[2])
+    return programs.select("id").join(served, "id", "left").withColumn("way", F.coalesce("way", F.lit("none")))
+
+
 def fill_tiles(rows: DataFrame, pool: DataFrame, n: int = vocab.TILES) -> DataFrame:
     """Fill each program's row of thumbnails up to ``n`` from its subject's pool.
 

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gazetteer.session import cut_lineage
+
 BUCKET = 100_000
 
 
@@ -88,8 +90,19 @@ def exact_rank(
 
 
 def global_rank(df: DataFrame, order: str, out: str = "rank", bucket: int = BUCKET) -> DataFrame:
-    """``row_number`` over a whole table; only bucket totals meet in one task."""
-    return exact_rank(df.withColumn("_all", F.lit(0)), ["_all"], order, out, bucket).drop("_all")
+    """``row_number`` over a whole table, by ranges of about ``bucket`` rows.
+
+    Ranges come from the values themselves, so sparse, hashed or crowded numbers
+    fill them alike; only one total a range meets in one task.  The ranged rows
+    are stored, which fixes the ranges for both passes over them.
+    """
+    ranges = max(1, -(-df.count() // bucket))
+    ranged = cut_lineage(df.repartitionByRange(ranges, order).withColumn("_bucket", F.spark_partition_id().cast("bigint")))
+    totals = ranged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_total"))
+    before = _offsets(totals.withColumn("_all", F.lit(0)), ["_all"], "_total").select("_bucket", "_before")
+    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))
+    return ranged.withColumn("_local", local).join(before, "_bucket").withColumn(
+        out, F.col("_before") + F.col("_local")).drop("_bucket", "_local", "_before")
 
 
 def cap_with_total(

@@ -162,12 +162,15 @@ def media_filter(spark, d):
 _TARGETS = " ".join(f"WHEN '{s}' THEN {t}" for s, t in vocab.MEDIA_TARGETS.items())
 
 
-@query("q_interleave", f"""WITH {SQL_MEDIA}, have AS (SELECT subject, title, _ord AS id FROM media_raw WHERE _ord % 9973 = 5),
+SQL_INTERLEAVED = f"""have AS (SELECT subject, title, _ord AS id FROM media_raw WHERE _ord % 9973 = 5),
   fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY subject_no, result_rank, query_no, _ord) AS t FROM media
     WHERE title NOT IN (SELECT title FROM have)) WHERE t = 1),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY result_rank, query_no, _ord) AS rn FROM fresh)
-  SELECT (SELECT max(id) FROM have) + row_number() OVER (ORDER BY subject_no, rn) AS id, r.subject, title, source FROM ranked r
-  LEFT JOIN (SELECT subject, count(*) AS n FROM have GROUP BY 1) h ON h.subject = r.subject WHERE rn <= CASE r.subject {_TARGETS} END - coalesce(n, 0)""", ("media_raw",))
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY result_rank, query_no, _ord) AS rn FROM fresh),
+  interleaved AS (SELECT (SELECT max(id) FROM have) + row_number() OVER (ORDER BY subject_no, rn) AS id, r.subject, title, source FROM ranked r
+    LEFT JOIN (SELECT subject, count(*) AS n FROM have GROUP BY 1) h ON h.subject = r.subject WHERE rn <= CASE r.subject {_TARGETS} END - coalesce(n, 0))"""
+
+
+@query("q_interleave", f"WITH {SQL_MEDIA}, {SQL_INTERLEAVED} SELECT id, subject, title, source FROM interleaved", ("media_raw",))
 def interleave(spark, d):
     existing = view(spark, d, "media_raw").where("_ord % 9973 = 5").select("subject", "title", F.col("_ord").alias("id"))
     return A.interleave(_media(spark, d), existing, vocab.MEDIA_TARGETS)
@@ -206,10 +209,17 @@ def assign_unique(spark, d):
     return A.pool_photos(_rows(spark, d), _media(spark, d).select("subject", "source", "_ord"))
 
 
-@query("q_assign_own")
-def assign_own(spark, d):
-    """Own photos; every ninth picture is listed by two organisations."""
-    core = D.core_programs(view(spark, d, "sites_raw")).select("id", "provider", "_ord")
+# One by one: each program takes the first photo of its organisation that nobody has taken.
+SQL_OWN = """progs AS (SELECT id, provider, _ord, row_number() OVER (ORDER BY _ord) AS n FROM core),
+  listed AS (SELECT provider, url, _ord FROM photos_raw UNION ALL SELECT 'Org ' || (_ord % 40) || ' Inc', url, _ord FROM photos_raw WHERE _ord % 9 = 0),
+  lists AS (SELECT provider, list(url ORDER BY _ord)[1:12] AS urls FROM (SELECT provider, url, min(_ord) AS _ord FROM listed GROUP BY 1, 2) GROUP BY 1),
+  own_walk AS (SELECT 0::BIGINT AS n, NULL::VARCHAR AS id, NULL::VARCHAR AS photo, []::VARCHAR[] AS used UNION ALL
+    SELECT n, id, photo, CASE WHEN photo IS NULL THEN used ELSE list_append(used, photo) END FROM (SELECT p.n, p.id, w.used,
+      list_filter(coalesce(l.urls, []), lambda u: NOT list_contains(w.used, u))[1] AS photo FROM own_walk w JOIN progs p ON p.n = w.n + 1 LEFT JOIN lists l ON l.provider = p.provider))"""
+
+
+def _listed(spark, d):
+    """Photos by organisation; every ninth picture is listed by two."""
     photos = view(spark, d, "photos_raw")
     listed = photos.select("provider", "url", "_ord").unionByName(
         photos.where("_ord % 9 = 0").select(
@@ -217,7 +227,38 @@ def assign_own(spark, d):
     ranked = O.top_per(
         O.first_per(listed, ["provider", "url"], F.col("_ord")), ["provider"], [F.col("_ord")],
         vocab.IMAGES_PER_PROVIDER)
-    return A.own_photos(core, ranked.select("provider", F.col("url").alias("photo"), F.col("_rn").alias("pos")))
+    return ranked.select("provider", F.col("url").alias("photo"), F.col("_rn").alias("pos"))
+
+
+@query("q_assign_own", f"WITH RECURSIVE {I.SQL_CORE}, {SQL_OWN} SELECT id, photo FROM own_walk WHERE photo IS NOT NULL", ("sites_raw", "photos_raw"))
+def assign_own(spark, d):
+    core = D.core_programs(view(spark, d, "sites_raw")).select("id", "provider", "_ord")
+    return A.own_photos(core, _listed(spark, d))
+
+
+@query("q_assign_photos", f"""WITH RECURSIVE {I.SQL_CORE}, {I.SQL_FACTS}, {SQL_OWN}, {SQL_MEDIA}, {SQL_INTERLEAVED},
+  stock AS (SELECT subject, max_by(source, _ord) AS source FROM media GROUP BY 1),
+  pool AS (SELECT subject, source, min(id) AS first_id FROM interleaved WHERE source NOT IN (SELECT source FROM stock) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY min(id)) = 1),
+  piles AS (SELECT row_number() OVER (ORDER BY min(first_id)) AS b, subject, list(source ORDER BY first_id) AS sources FROM pool GROUP BY 2),
+  sizes AS (SELECT list(len(sources) ORDER BY b) AS size FROM piles),
+  waiting AS (SELECT *, row_number() OVER (ORDER BY _ord) AS m FROM (SELECT c.id, c._ord, CASE WHEN f.provider IS NULL THEN 'default' ELSE CASE {_SUBJ} ELSE 'default' END END AS subject
+    FROM core c LEFT JOIN (SELECT provider, subjects FROM facts) f ON f.provider = c.provider WHERE c.id NOT IN (SELECT id FROM own_walk WHERE photo IS NOT NULL))),
+  pool_walk AS (SELECT 0::BIGINT AS m, NULL::VARCHAR AS id, NULL::BIGINT AS b, NULL::BIGINT AS turn, list_transform(size, lambda x: 0::BIGINT) AS taken FROM sizes UNION ALL
+    SELECT m, id, b, taken[b] + 1, list_transform(taken, lambda x, i: CASE WHEN i = b THEN x + 1 ELSE x END) FROM (SELECT q.m, q.id, w.taken,
+      CASE WHEN w.taken[p.b] < s.size[p.b] THEN p.b ELSE list_filter(range(1, len(s.size) + 1), lambda i: w.taken[i] < s.size[i])[1] END AS b
+      FROM pool_walk w JOIN waiting q ON q.m = w.m + 1 CROSS JOIN sizes s LEFT JOIN piles p ON p.subject = q.subject)),
+  pooled AS (SELECT w.id, p.sources[w.turn] AS picture FROM pool_walk w JOIN piles p ON p.b = w.b),
+  stocked AS (SELECT q.id, s.source AS picture FROM waiting q JOIN stock s ON s.subject = q.subject WHERE q.id NOT IN (SELECT id FROM pooled) QUALIFY row_number() OVER (PARTITION BY s.source ORDER BY q._ord) = 1),
+  served AS (SELECT id, 'own' AS way, photo AS picture FROM own_walk WHERE photo IS NOT NULL UNION ALL SELECT id, 'pool', picture FROM pooled UNION ALL SELECT id, 'local', picture FROM stocked)
+  SELECT c.id, coalesce(way, 'none') AS way, picture FROM core c LEFT JOIN served s ON s.id = c.id""", ("sites_raw", "facts_raw", "photos_raw", "media_raw"))
+def assign_photos(spark, d):
+    """Own photo, pool photo of the subject or of any, stock photo, none: one walk over all programs."""
+    core = D.core_programs(view(spark, d, "sites_raw")).select("id", "provider", "_ord")
+    facts = D.last_per_provider(I.facts(spark, d)).select("provider", subject_key(F.col("subjects")).alias("subject"))
+    programs = core.join(facts, "provider", "left").withColumn("subject", F.coalesce("subject", F.lit("default")))
+    pool = interleave(spark, d).select("subject", "source", F.col("id").alias("_ord"))
+    stock = _media(spark, d).groupBy("subject").agg(F.max_by("source", "_ord").alias("source"))
+    return A.assign_photos(programs, _listed(spark, d), pool, stock)
 
 
 @query("q_fill_tiles", f"""WITH {I.SQL_CORE}, {I.SQL_FACTS}, {SQL_ROWS}, {SQL_MEDIA}, {_POOL},

@@ -122,3 +122,14 @@ def test_small_top_k_is_pruned_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 AS k", "id")
     plan = O.top_per(df, ["k"], [F.col("id")], 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_global_rank_of_hashed_and_crowded_numbers(spark):
+    rng = random.Random(2)
+    for numbers in ([rng.randrange(-2**62, 2**62) for _ in range(500)], [*range(480), *[10**15 + i for i in range(20)]], []):
+        df = spark.createDataFrame([(n,) for n in numbers], "o long").repartition(3)
+        got = {r["o"]: r["rank"] for r in O.global_rank(df, "o", "rank", 64).collect()}
+        assert got == {n: i + 1 for i, n in enumerate(sorted(numbers))}
+        if numbers:
+            sizes = df.repartitionByRange(8, "o").groupBy(F.spark_partition_id()).count().collect()
+            assert max(r["count"] for r in sizes) < 200

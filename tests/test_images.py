@@ -233,3 +233,51 @@ def test_tiles_take_unclaimed_photos_first_for_any_order_number(spark):
         spark.createDataFrame(rows, "id string, subject string, _ord long, have int, main string"),
         spark.createDataFrame(pool, "subject string, src string, claimed boolean, _ord long")).collect()
     assert [r["src"] for r in got] == ["free"]
+
+
+def walk(programs, lists, pool, local):
+    """One by one, as a reader would hand out pictures."""
+    used, out = set(), {}
+    for pid, provider, _, _ in programs:
+        own = next((ph for ph in lists.get(provider, []) if ph not in used), None)
+        if own:
+            used.add(own)
+            out[pid] = ("own", own)
+    piles = {}
+    for subject, source, _ in pool:
+        if source not in local.values():
+            piles.setdefault(subject, []).append(source)
+    for pid, _, subject, _ in programs:
+        if pid in out:
+            continue
+        for pile in [piles.get(subject, []), *piles.values()]:
+            while pile and pile[0] in used:
+                pile.pop(0)
+            if pile:
+                out[pid] = ("pool", pile.pop(0))
+                used.add(out[pid][1])
+                break
+        else:
+            stock = local.get(subject)
+            out[pid] = ("none", None) if stock is None or stock in used else ("local", stock)
+            used.add(stock)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pictures_equal_the_walk(spark, seed):
+    rng = random.Random(seed)
+    subjects = ["a", "b", "c", "d", "unlisted"]
+    n = [60, 120, 200, 40][seed]
+    order = rng.sample(range(10**12), n) if seed % 2 else range(n)
+    programs = [(f"id{i}", f"p{rng.randrange(8)}", rng.choices(subjects, [5, 1, 2, 1, 1 + seed])[0], o) for i, o in enumerate(sorted(order))]
+    lists = {f"p{i}": rng.sample([f"ph{j}" for j in range(12)], rng.randrange(5)) for i in range(8)}
+    pool = [(rng.choice(subjects[:4]), f"s{i}", i) for i in range([20, 60, 300, 0][seed])] + [("a", "stock-b", 900)]
+    local = {s: f"stock-{s if s != 'd' else 'c'}" for s in subjects[:4]}
+    got = A.assign_photos(
+        spark.createDataFrame(programs, "id string, provider string, subject string, _ord long").repartition(3),
+        spark.createDataFrame([(p, ph, i + 1) for p, phs in lists.items() for i, ph in enumerate(phs)], "provider string, photo string, pos int"),
+        spark.createDataFrame(pool, "subject string, source string, _ord long"),
+        spark.createDataFrame(list(local.items()), "subject string, source string"), bucket=16).collect()
+    assert {r["id"]: (r["way"], r["picture"]) for r in got} == walk(programs, lists, pool, local)
+    assert len(got) == n
