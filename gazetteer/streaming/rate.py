@@ -8,9 +8,11 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gazetteer import vocab
 from gazetteer.operators.order import top_per
+from gazetteer.session import cut_lineage
 
 
 def rate_fixed(
@@ -82,42 +84,84 @@ def idle_segments(
     return slots.join(numbered, [client, "_slot"]).drop("_slot")
 
 
+WINDOWS_A_CHUNK = 240
+
+
 def rate_sliding(
     events: DataFrame, client: str = "client", at: str = "at_s", order: str = "event_id",
-    limit: int = vocab.RATE_MAX, window_s: int = vocab.RATE_WINDOW_S,
+    limit: int = vocab.RATE_MAX, window_s: int = vocab.RATE_WINDOW_S, windows_a_chunk: int = WINDOWS_A_CHUNK,
 ) -> DataFrame:
     """Whether each request is admitted: fewer than ``limit`` admitted in the last window.
 
     Of requests at one instant only the first ``limit`` can pass, so only those
     are walked; a flood shrinks to its distinct instants before any shuffle.
-    Each stretch between pauses is walked once in time order.  The walk reads
-    sorted batches and remembers at most ``limit`` times.
+    Stretches between pauses do not depend on each other, and long ones are cut
+    into chunks of time.  All chunks are walked at once from an empty window;
+    then those whose predecessor ended with other admitted times are walked
+    again from these, until none differs.  No client has to fit a task; one that
+    is over its limit without a pause may need a round for each of its chunks.
     """
     first = top_per(events.select(client, at, order), [client, at], [F.col(order)], limit).drop("_rn")
-    ordered = (
-        idle_segments(first, client, at, window_s)
-        .repartition(client, "segment").sortWithinPartitions(client, "segment", at, order)
-    )
+    chunk = ["_client", "_segment", "_chunk"]
+    rows = cut_lineage(idle_segments(first, client, at, window_s).select(
+        F.col(client).alias("_client"), F.col("segment").alias("_segment"),
+        F.floor(F.col(at) / (window_s * windows_a_chunk)).cast("bigint").alias("_chunk"),
+        F.col(at).alias("_at"), F.col(order).alias("_order")))
+    schema = T.StructType([*rows.schema.fields, T.StructField("_wait", T.LongType()),
+                           T.StructField("_left", T.ArrayType(T.DoubleType()))])
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Verdicts in order, and after each chunk a row with the times it leaves behind."""
         key, recent = None, []
+
+        def leave() -> pd.DataFrame:
+            return pd.DataFrame({**{c: [k] for c, k in zip(chunk, key, strict=True)}, "_at": [None], "_order": [None],
+                                 "_wait": pd.array([None], "Int64"), "_left": [recent]})
+
         for batch in batches:
-            verdicts = []
-            for c, s, t in zip(batch[client], batch["segment"], batch[at], strict=True):
-                if (c, s) != key:
-                    key, recent = (c, s), []
-                recent, wait = admit(recent, t, limit, window_s)
+            verdicts, from_row = [], 0
+            for i, (c, s, k, t) in enumerate(zip(*[batch[x] for x in (*chunk, "_at")], strict=True)):
+                if (c, s, k) != key:
+                    if key is not None:
+                        yield batch[from_row:i][[*chunk, "_at", "_order"]].assign(_wait=pd.array(verdicts, "Int64"), _left=None)
+                        yield leave()
+                        verdicts, from_row = [], i
+                    key, recent = (c, s, k), list(batch["_entry"].iloc[i])
+                recent, wait = admit(recent, float(t), limit, window_s)
                 verdicts.append(wait)
-            yield batch[[client, at, order]].assign(_wait=pd.array(verdicts, dtype="Int64"))
-
-    fields = events.select(client, at, order).schema.fields
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    judged = ordered.mapInPandas(walk, f"{schema}, _wait bigint").withColumn("_seen", F.lit(True))
+            yield batch[from_row:][[*chunk, "_at", "_order"]].assign(_wait=pd.array(verdicts, "Int64"), _left=None)
+        if key is not None:
+            yield leave()
+
+    def walked(entered: DataFrame) -> DataFrame:
+        placed = entered.repartition(*chunk).sortWithinPartitions(*chunk, "_at", "_order")
+        return cut_lineage(placed.mapInPandas(walk, schema))
+
+    # A chunk's window can only hold admitted times that reach its first request.
+    chunks = rows.groupBy(*chunk).agg(F.min("_at").cast("double").alias("_from"))
+    nothing = F.array().cast("array<double>")
+    states = cut_lineage(chunks.withColumn("_entry", nothing))
+    judged = walked(rows.withColumn("_entry", nothing))
+    before = Window.partitionBy("_client", "_segment").orderBy("_chunk")
+    while True:
+        left = judged.where("_left IS NOT NULL").select(*chunk, "_left")
+        due = states.join(left, chunk).withColumn("_due", F.filter(
+            F.coalesce(F.lag("_left").over(before), nothing), lambda t: F.col("_from") - t < window_s))
+        states = cut_lineage(due.select(*chunk, "_from", F.col("_due").alias("_entry"), (F.col("_due") != F.col("_entry")).alias("_new")))
+        changed = states.where("_new")
+        if changed.isEmpty():
+            break
+        states = states.drop("_new")
+        again = walked(rows.join(changed.select(*chunk, "_entry"), chunk))
+        judged = judged.join(changed.select(*chunk), chunk, "left_anti").unionByName(again)
+
+    seen = judged.where("_left IS NULL").select(
+        F.col("_client").alias(client), F.col("_at").alias(at), F.col("_order").alias(order), "_wait", F.lit(True).alias("_seen"))
     # Whoever comes later in the same instant finds the window full: it waits
     # like the last one walked, or a whole window if that one still passed.
-    last = judged.groupBy(client, at).agg(
+    last = seen.groupBy(client, at).agg(
         F.max_by(F.coalesce("_wait", F.lit(window_s).cast("bigint")), order).alias("_full"))
-    out = events.join(judged, [client, at, order], "left").join(last, [client, at], "left")
+    out = events.join(seen, [client, at, order], "left").join(last, [client, at], "left")
     wait = F.when(F.col("_seen"), F.col("_wait")).otherwise(F.col("_full"))
     return out.withColumn("retry_after_s", wait).withColumn(
         "allowed", F.col("retry_after_s").isNull()).drop("_wait", "_seen", "_full")

@@ -126,6 +126,20 @@ def test_sliding_equals_the_walk(spark, partitions, pause):
     assert got == walked(rows)
 
 
+@pytest.mark.parametrize("windows", [1, 3])
+def test_one_client_without_a_pause_is_walked_in_chunks(spark, windows):
+    rng = random.Random(7)
+    rows, t = [], 0
+    for i in range(500):
+        t += rng.choice([0, 1, 2, 2, 3, 20])
+        rows.append((i, "only", t))
+    df = spark.createDataFrame(rows, "event_id long, client string, at_s long").repartition(8)
+    judged = R.rate_sliding(df, windows_a_chunk=windows)
+    got = {r["event_id"]: (r["allowed"], r["retry_after_s"]) for r in judged.collect()}
+    assert got == walked(rows)
+    assert t // 60 // windows > 5  # it was cut
+
+
 def test_fixed_counts_rejected_ones(spark):
     rows = [(i, 1, i * 2) for i in range(40)]
     df = spark.createDataFrame(rows, "event_id long, client long, at_s long")
