@@ -198,16 +198,34 @@ def rate_fixed(spark, d):
     return R.rate_fixed(view(spark, d, "requests")).select("event_id", "allowed", "retry_after_s")
 
 
-@query("q_rate_sliding", """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY at_s, event_id) AS rn FROM requests),
+SQL_SLIDING = """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY at_s, event_id) AS rn FROM requests),
   f AS (SELECT client, 0::BIGINT AS rn, 0::BIGINT AS event_id, true AS allowed, NULL::BIGINT AS wait, []::BIGINT[] AS times FROM (SELECT DISTINCT client FROM o)
     UNION ALL SELECT o.client, o.rn, o.event_id, len(list_filter(times, lambda t: o.at_s - t < 60)) < 12,
       CASE WHEN len(list_filter(times, lambda t: o.at_s - t < 60)) >= 12 THEN greatest(1, 60 - (o.at_s - list_filter(times, lambda t: o.at_s - t < 60)[1])) END,
       CASE WHEN len(list_filter(times, lambda t: o.at_s - t < 60)) < 12 THEN list_append(list_filter(times, lambda t: o.at_s - t < 60), o.at_s) ELSE list_filter(times, lambda t: o.at_s - t < 60) END
-    FROM f JOIN o ON o.client = f.client AND o.rn = f.rn + 1) SELECT event_id, allowed, wait AS retry_after_s FROM f WHERE rn > 0""", ("requests",))
+    FROM f JOIN o ON o.client = f.client AND o.rn = f.rn + 1) SELECT event_id, allowed, wait AS retry_after_s FROM f WHERE rn > 0"""
+
+
+@query("q_rate_sliding", SQL_SLIDING, ("requests",))
 def rate_sliding(spark, d):
     return R.rate_sliding(view(spark, d, "requests")).select("event_id", "allowed", "retry_after_s")
 
 
+@query("q_rate_sliding_stream", SQL_SLIDING, ("requests",))
+def rate_sliding_stream(spark, d):
+    """The same verdicts from the stream, run over everything that is there."""
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    asked = stream.selectExpr("event_id", "user_id % 10 AS client", "timestamp_seconds(1767225600 + event_id * 7 % 3600) AS at")
+    out, store = _folder(spark, "admitted"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, R.ROCKS)
+    R.rate_sliding_stream(asked).writeStream.format("parquet").option("path", f"{out}/rows").option(
+        "checkpointLocation", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set(store, before)
+    return spark.read.parquet(f"{out}/rows").select("event_id", "allowed", "retry_after_s")
+
+
 @query("q_over_limit_stream", """SELECT client, CAST(minute AS BIGINT) AS minute, count(*) AS requests FROM (SELECT user_id % 10 AS client, floor(epoch(date_trunc('minute', ts)) / 60) AS minute FROM events)
   GROUP BY 1, 2 HAVING count(*) > 1""")
 def over_limit_stream(spark, d):

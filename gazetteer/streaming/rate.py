@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from gazetteer import vocab
 from gazetteer.operators.order import top_per
@@ -167,40 +167,60 @@ def rate_sliding(
         "allowed", F.col("retry_after_s").isNull()).drop("_wait", "_seen", "_full")
 
 
-STATE = "times array<double>"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def admit_group(limit: int, window_s: float, at: str, order: str):
-    """State step for ``applyInPandasWithState``: admitted times of one client."""
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values([at, order])
+class SlidingLimit(StatefulProcessor):
+    """Admitted times of one client's last window, kept until the window is over in event time."""
+
+    def __init__(self, limit: int, window_s: int, key: str, at: str, order: str):
+        self.limit, self.window_s, self.key, self.at, self.order = limit, window_s, key, at, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "at double")
+        self.newest = handle.getValueState("newest", "at double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        recent = [t for (t,) in self.times.get()] if self.times.exists() else []
+        newest = self.newest.get()[0] if self.newest.exists() else float("-inf")
+        arrived = pd.concat([r[[self.order, self.at]] for r in rows]).sort_values([self.at, self.order])
         verdicts = []
-        for t in rows[at]:
-            recent, wait = admit(recent, float(t), limit, window_s)
+        for t in arrived[self.at].astype("int64") / 1e9 if arrived[self.at].dtype.kind == "M" else arrived[self.at]:
+            newest = max(newest, float(t))  # who comes late comes now
+            recent, wait = admit(recent, newest, self.limit, self.window_s)
             verdicts.append(wait)
-        state.update((recent,))
-        state.setTimeoutDuration(int(window_s * 1000))
-        yield pd.DataFrame({
-            "client": key[0], "event_id": rows[order], "at_s": rows[at],
-            "allowed": [v is None for v in verdicts],
-            "retry_after_s": pd.array(verdicts, dtype="Int64"),
-        })
+        self.times.put([(t,) for t in recent])
+        self.newest.update((newest,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int((newest + self.window_s) * 1000))
+        yield arrived.assign(**{
+            self.key: key[0], "allowed": [v is None for v in verdicts], "retry_after_s": pd.array(verdicts, dtype="Int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        self.newest.clear()
+        yield from ()
 
-    return step
+    def close(self) -> None:
+        pass
 
 
 def rate_sliding_stream(
-    stream: DataFrame, client: str = "client", at: str = "at_s", order: str = "event_id",
+    stream: DataFrame, client: str = "client", at: str = "at", order: str = "event_id", late: str = "1 minute",
     limit: int = vocab.RATE_MAX, window_s: int = vocab.RATE_WINDOW_S,
 ) -> DataFrame:
-    """Streaming admission; a client idle for a whole window is forgotten.
+    """Streaming admission: the columns ``client``, ``at`` (a timestamp) and ``order`` with the verdict.
 
-    Requests must arrive in time order across micro-batches, as at a gate.
+    Within a micro-batch requests are taken in time order.  A request older than
+    one judged before it is judged as if it came at that one's time; one behind
+    the watermark (``late``) is dropped by Spark and gets no verdict.  A client
+    whose last window is over in event time is forgotten.  The session must keep
+    state in RocksDB (``ROCKS``).
     """
-    out = "client bigint, event_id bigint, at_s double, allowed boolean, retry_after_s bigint"
-    return stream.withColumn(at, F.col(at).cast("double")).groupBy(client).applyInPandasWithState(
-        admit_group(limit, window_s, at, order), out, STATE, "append", "ProcessingTimeTimeout")
+    rows = stream.select(client, at, order).withWatermark(at, late)
+    schema = T.StructType([rows.schema[order], rows.schema[at], rows.schema[client], T.StructField("allowed", T.BooleanType()),
+                           T.StructField("retry_after_s", T.LongType())])
+    return rows.groupBy(client).transformWithStateInPandas(
+        SlidingLimit(limit, window_s, client, at, order), schema, "Append", "EventTime")

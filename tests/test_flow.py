@@ -1,5 +1,6 @@
 """Sources, replies, cache, budget, limits, streams."""
 
+import datetime
 import json
 import random
 
@@ -148,24 +149,45 @@ def test_fixed_counts_rejected_ones(spark):
     assert got[12] == (False, 36) and got[29] == (False, 2)
 
 
+def streamed(spark, folder, parts, schema, **kwargs):
+    """Feed the parts one after the other, as files that arrive between two runs of one query."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", R.ROCKS)
+    rows = []
+    try:
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+            query = (
+                R.rate_sliding_stream(stream, **kwargs).writeStream.outputMode("append")
+                .foreachBatch(lambda df, _: rows.extend(df.collect()))
+                .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
+            query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return rows
+
+
+def at(second):
+    return datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=second)
+
+
 def test_sliding_stream_equals_batch(spark, tmp_path):
     rows = sorted(requests(3, 120), key=lambda r: r[2])
-    schema = "event_id long, client long, at_s long"
-    for i in range(3):
-        part = [r for r in rows if r[2] // 200 == i or (i == 2 and r[2] >= 400)]
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"batch={i}"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    # A timeout by the clock asks for empty batches for ever; this run has an end.
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    query = (
-        R.rate_sliding_stream(stream).writeStream.format("memory").queryName("admitted").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start())
-    ended = query.awaitTermination(60)
-    query.stop()
-    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
-    assert ended
-    got = {r["event_id"]: (r["allowed"], r["retry_after_s"]) for r in spark.table("admitted").collect()}
-    assert got == walked(rows)
+    parts = [[(f"c{c}", at(t), e) for e, c, t in rows if lo <= t < hi] for lo, hi in ((0, 200), (200, 400), (400, 10**6))]
+    got = streamed(spark, tmp_path, parts, "client string, at timestamp, event_id long", late="0 seconds")
+    assert {r["event_id"]: (r["allowed"], r["retry_after_s"]) for r in got} == walked(rows)
+    assert {r["client"] for r in got} == {"c0", "c1", "c2"}
+
+
+def test_late_requests_and_other_names(spark, tmp_path):
+    schema = "who long, seen timestamp, n int"
+    first = [(5, at(100), i) for i in range(3)]
+    # Behind the newest but not behind the watermark: judged as if it came at second 100.
+    second = [(5, at(70), 3), (6, at(300), 4)]
+    third = [(5, at(90), 5), (6, at(301), 6)]  # second 90 is behind the watermark now
+    got = streamed(spark, tmp_path, [first, second, third], schema, client="who", at="seen", order="n", limit=3)
+    assert {r["n"]: (r["allowed"], r["retry_after_s"]) for r in got} == {
+        0: (True, None), 1: (True, None), 2: (True, None), 3: (False, 60), 4: (True, None), 6: (True, None)}
 
 
 def test_refresh_redoes_changed_organisations_only(spark, tmp_path):
