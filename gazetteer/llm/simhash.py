@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazetteer.llm.common import bounded, texts_of
+from gazetteer.llm import graph
+from gazetteer.llm.common import bounded, texts_of, written
 from gazetteer.session import cut_lineage
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -257,22 +258,8 @@ def links(distinct: DataFrame, chain: int | None = None) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge; the root is the component's smallest node."""
-    edges = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), "m")
-        small = large.join(least, F.col("u") == F.col("_u")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(small.unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))).distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first())
-        if now == mark:
-            break
-        mark = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    """(node, root) for every node of a link (a, b); the root is the component's smallest node."""
+    return graph.components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def components_of(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -293,7 +280,13 @@ def hex_digits(fp):
 
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows whose key is its component's smallest; others of the component go."""
-    stay = components_of(df, text, key).where(F.col("key").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("key").alias("_stay")).distinct()
-    return df.join(stay, F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
+    """One row of each component: that of the smallest key, of repeated keys the one stored first.
+
+    A null key stays only where its component has no other.  The rows are stored
+    with a number each, which tells rows with the same key apart.
+    """
+    rows = written(df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")))
+    place = F.struct(F.col("row")[key].isNull().alias("none"), F.col("row")[key].alias("key"), "number")
+    found = components_of(rows.select(place.alias("place"), F.col("row")[text].alias("text")), "text", "place")
+    stay = found.where(F.col("key") == F.col("component_id")).select(F.col("key.number").alias("number"))
+    return rows.join(stay, "number", "left_semi").select("row.*")

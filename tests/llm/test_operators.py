@@ -215,6 +215,21 @@ def test_simhash(docs, empty):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
+def test_one_row_of_each_component_stays(spark):
+    g = random.Random(6)
+    make = lambda n: " ".join(f"w{g.randrange(500)}" for _ in range(n))
+    a, b, c, d = (make(400) for _ in range(4))
+    near = a + " w1"
+    assert bin(slow_print(a) ^ slow_print(near)).count("1") <= 4
+    rows = [(3, a), (5, near), (5, b), (5, b), (None, a), (None, c), (None, c), (9, d), (9, d), (7, ""), (2, None), (None, "one")]
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, _stay string, number long, row long").repartition(3)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(3, a), (5, b), (None, c), (9, d), (2, None), (None, "one")], key=repr)
+    assert simhash.keep_one(df.where("doc_id = 1")).count() == 0
+
+
 @pytest.mark.parametrize("chain,small", [(2, 1 << 14), (2, 4), (3, 1 << 14)])
 def test_links_of_chains_and_clusters(spark, chain, small, monkeypatch):
     monkeypatch.setattr(simhash, "SMALL_PAIRS", small)
@@ -476,4 +491,4 @@ def test_pipeline_stages(spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
