@@ -354,15 +354,15 @@ def dataset_meta(counts: DataFrame, programs: DataFrame) -> DataFrame:
         F.array(*[F.array(*[F.lit(s) for s in v]) for v in vocab.SUBJECT_GROUPS.values()]),
     )
     modelled = programs.agg(
-        F.coalesce(F.bool_or(F.col("enrichment.method") == vocab.MODEL_METHOD), F.lit(False))
-    ).first()[0]
-    how = "extracted with a model" if modelled else "keyword matching"
+        F.coalesce(F.bool_or(F.col("enrichment.method") == vocab.MODEL_METHOD), F.lit(False)).alias("modelled")
+    ).scalar()
+    how = F.when(modelled, "extracted with a model").otherwise("keyword matching")
     return counts.agg(F.map_from_entries(F.collect_list(F.struct("counter", "n"))).alias("counts")).select(
         F.lit(vocab.SCHEMA_VERSION).alias("schemaVersion"),
         F.current_timestamp().alias("generatedAt"),
         F.lit(vocab.PROGRAM_YEAR).alias("programYear"),
         "counts",
-        F.create_map(F.lit("enrichment"), F.lit(f"provider websites, {how}")).alias("sources"),
+        F.create_map(F.lit("enrichment"), F.concat(F.lit("provider websites, "), how)).alias("sources"),
         groups.alias("subjectGroups"),
     )
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
+from gazetteer import vocab
 from gazetteer.functions.replies import recover_json, reply_text
 from gazetteer.functions.values import is_definitive
 from gazetteer.functions.web import crawl_text
@@ -15,7 +17,7 @@ from gazetteer.operators import evidence as E
 from gazetteer.plans import inputs as I
 from gazetteer.plans.registry import query
 from gazetteer.plans.views import table, view
-from gazetteer.session import shared_dir
+from gazetteer.session import cut_lineage, shared_dir
 from gazetteer.sources import files as S
 from gazetteer.sources.paged import parquet_pages, read_paged
 from gazetteer.streaming import rate as R
@@ -82,13 +84,55 @@ def dataset_roundtrip(spark, d):
     path = _folder(spark, "dataset")
     core = D.core_programs(view(spark, d, "sites_raw"))
     schools = D.published_schools(I.schools(spark, d))
-    tables = {"meta": spark.range(1), "programs": core, "schools": schools}
-    S.write_dataset(tables, path, "v1")
-    back = [S.read_dataset(spark, path, "v1", n) for n in ("programs", "schools")]
+    S.write_dataset({"programs": core, "schools": schools}, path, "v1", core.agg(F.count(F.lit(1)).alias("programs")))
+    back = S.read_dataset(spark, path, "v1", ["programs", "schools"])
     return back[0].select(F.lit("programs").alias("part"), F.col("id").alias("key"), "lat", "lng").unionByName(
         back[1].select(F.lit("schools").alias("part"), F.col("dbn").alias("key"), "lat", "lng"))
 
 
+def _joined(*values) -> F.Column:
+    return F.concat_ws("|", *[F.coalesce(v.cast("string"), F.lit("-")) for v in values])
+
+
+def _sql_joined(*values: str) -> str:
+    return "concat_ws('|', " + ", ".join(f"coalesce(CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+
+
+@query("q_dataset_publish", f"""WITH {I.SQL_PROGRAMS}, {I.SQL_ZIPS}, counts AS (SELECT unnest(['programs', 'schools', 'zips', 'withTools', 'costConfirmed', 'onSharedCampus']) AS key,
+    unnest([(SELECT count(*) FROM programs), (SELECT count(*) FROM schools), (SELECT count(*) FROM zips), (SELECT count(*) FROM programs WHERE len(tools) > 0),
+      (SELECT count(*) FROM programs WHERE tier <> 'unknown'), (SELECT count(*) FROM programs WHERE n_co > 1)]) AS n)
+  SELECT 'programs' AS part, id AS key, {_sql_joined("name", "provider", "area", "age_range", "zip", "neighborhood", "seats IS NULL", "funded", "tier", "cost_source", "host_dbn", "host_m", "n_co",
+    "dbns", "website", "website_confidence", "array_to_string(tools, ',')", "array_to_string(subjects, ',')", "method", "n_photos", "photo_urls")} AS value FROM programs UNION ALL
+  SELECT 'schools', dbn, {_sql_joined("name", "grades", "serves_k5")} FROM schools UNION ALL
+  SELECT 'zips', zip, {_sql_joined("sites_all", "now")} FROM zips UNION ALL
+  SELECT 'counts', key, CAST(n AS VARCHAR) FROM counts UNION ALL
+  SELECT 'meta', '{vocab.SCHEMA_VERSION}', '{vocab.PROGRAM_YEAR}|provider websites, ' || CASE WHEN (SELECT bool_or(method = '{vocab.MODEL_METHOD}') FROM programs) THEN 'extracted with a model' ELSE 'keyword matching' END""", I.PROGRAM_VIEWS)
+def dataset_publish(spark, d):
+    """All four tables written under one version and read back: nested programs, schools, ZIPs and meta."""
+    path, programs = _folder(spark, "published"), cut_lineage(I.programs(spark, d))
+    schools, zips = I.schools(spark, d), D.zip_stats(view(spark, d, "sites_raw"), programs.select(F.col("address.zip").alias("zip")))
+    meta = D.dataset_meta(D.dataset_counts(programs, schools, zips), programs)
+    S.write_dataset({"programs": programs, "schools": D.published_schools(schools), "zips": zips}, path, vocab.SCHEMA_VERSION, meta)
+    programs, schools, zips = S.read_dataset(spark, path, vocab.SCHEMA_VERSION, ["programs", "schools", "zips"])
+    meta = S.read_meta(spark, path, vocab.SCHEMA_VERSION)
+    c, co = F.col, F.col("coLocatedSchools.dbn")
+    record = _joined(
+        c("name"), c("provider"), c("programArea"), c("ageRange"), c("address.zip"), c("address.neighborhood"), c("seats").isNull(), c("cost.publiclyFunded"),
+        c("cost.tier"), c("cost.source"), c("inSchoolBuilding.dbn"), c("inSchoolBuilding.distanceM"), F.size(co),
+        F.when(F.size(co) > 0, F.array_join(co, " ")), c("enrichment.website"), c("enrichment.websiteConfidence"), F.array_join("enrichment.stemTools", ","),
+        F.array_join("enrichment.subjects", ","), c("enrichment.method"), F.size("photos"), F.when(F.size("photos") > 0, F.array_join("photos.url", " ")))
+    counted = meta.select(F.explode("counts").alias("key", "n")).where(
+        c("key").isin("programs", "schools", "zips", "withTools", "costConfirmed", "onSharedCampus"))
+    parts = [
+        programs.select(F.lit("programs").alias("part"), c("id").alias("key"), record.alias("value")),
+        schools.select(F.lit("schools").alias("part"), c("dbn").alias("key"), _joined(c("name"), c("grades"), c("servesK5")).alias("value")),
+        zips.select(F.lit("zips").alias("part"), c("zip").alias("key"), _joined(c("dycdSitesAllYears"), c("k5ProgramsNow")).alias("value")),
+        counted.select(F.lit("counts").alias("part"), "key", c("n").cast("string").alias("value")),
+        meta.select(F.lit("meta").alias("part"), c("schemaVersion").alias("key"), _joined(c("programYear"), F.element_at("sources", F.lit("enrichment"))).alias("value")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("q_stage_limit", f"""WITH smoke AS (SELECT * FROM sites_raw ORDER BY _ord LIMIT 500) SELECT trim(provider) AS provider, count(*) AS site_count FROM smoke
   WHERE {I.SQL_COHORT} AND trim(provider) <> '' GROUP BY 1""", ("sites_raw",))
 def stage_limit(spark, d):

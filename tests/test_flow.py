@@ -239,6 +239,24 @@ def test_snapshots_and_config(spark, tmp_path):
     assert [tuple(r) for r in S.read_text_config(spark, str(config), "array<string>").collect()] == [("Org", ["a.org", "b.org"])]
 
 
+def test_only_whole_datasets_are_read(spark, tmp_path):
+    path, meta = str(tmp_path / "set"), spark.range(1).select(F.lit("x").alias("note"))
+    small, large = spark.range(3), spark.range(5)
+    broken = large.select(F.raise_error(F.lit("cut off")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="cut off"):
+        S.write_dataset({"programs": small, "zips": broken}, path, "v1", meta)
+    with pytest.raises(AnalysisException):  # nothing was ever whole
+        S.read_dataset(spark, path, "v1", ["programs"])
+    S.write_dataset({"programs": small, "zips": small}, path, "v1", meta)
+    old, = S.read_dataset(spark, path, "v1", ["programs"])
+    with pytest.raises(Exception, match="cut off"):
+        S.write_dataset({"programs": large, "zips": broken}, path, "v1", meta)
+    assert [t.count() for t in S.read_dataset(spark, path, "v1", ["programs", "zips"])] == [3, 3]
+    S.write_dataset({"programs": large, "zips": large}, path, "v1", meta)
+    assert [t.count() for t in S.read_dataset(spark, path, "v1", ["programs", "zips"])] == [5, 5]
+    assert old.count() == 3 and S.read_meta(spark, path, "v1").first()["note"] == "x"
+
+
 def test_a_stage_runs_twice_alike(spark, tmp_path):
     df = spark.range(20).withColumnRenamed("id", "_ord")
     once = S.run_stage(lambda x: x.selectExpr("_ord * 2 AS v"), [df], str(tmp_path / "o"), limit=5).collect()
