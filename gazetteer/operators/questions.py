@@ -335,9 +335,7 @@ def render_answers(
     noun = F.when(F.col("total") == 1, "program").otherwise("programs")
     described = F.concat(F.when(label != "", F.concat(label, F.lit(" "))).otherwise(""), noun)
     there = F.concat(described, F.when(place != "", F.concat(F.lit(" "), place)).otherwise(""), F.lit(":"))
-    more = F.when(F.col("total") > n, F.concat(
-        F.lit(f" Showing {n} of "), F.col("total").cast("string"),
-        F.lit(". Add a borough, ZIP, or topic to narrow it."))).otherwise("")
+    more = _more(F.col("total"), n)
     nothing = F.concat(
         F.lit("I couldn't find a program that matches "), looked_for, F.lit(". I only know the "),
         catalog_size.cast("string"),
@@ -356,3 +354,75 @@ def render_answers(
     return out.withColumn("intro", intro).withColumn("spoken", spoken)
 
 
+def _more(total: Column, n: int) -> Column:
+    return F.when(total > n, F.concat(
+        F.lit(f" Showing {n} of "), total.cast("string"), F.lit(". Add a borough, ZIP, or topic to narrow it."))).otherwise("")
+
+
+def _detail() -> Column:
+    """What is known of one program, in a sentence or two."""
+    near, area = F.col("neighborhood"), F.col("area")
+    apart = (near != "") & (area != "") & ~F.contains(F.lower(near), F.lower(area))
+    place = F.when(apart, F.concat(near, F.lit(", "), area)).when(near != "", near).when(area != "", area).when(
+        F.col("location") != "", F.col("location")).otherwise("NYC")
+    hours = F.coalesce(F.nullif("hoursLabel", F.lit("")), F.lit("Hours not published"))
+    cost = F.coalesce(F.nullif("costLabel", F.lit("")), F.when(F.col("cost") == 0, "Free").otherwise("Ask provider"))
+    org = F.when(F.col("org") != "", F.concat(F.lit(" Run by "), "org", F.lit("."))).otherwise("")
+    summary = F.when(F.col("summary") != "", F.concat(F.lit(" "), "summary")).otherwise("")
+    return F.concat("name", F.lit(" is in "), place, F.lit(", "), hours, F.lit(". "), cost, F.lit(", "), "ages", F.lit("."), org, summary)
+
+
+def answer_questions(
+    routed: dict[str, DataFrame], catalog: DataFrame, centroids: DataFrame, site: str = "this directory",
+    n: int = vocab.RESULT_LIMIT,
+) -> DataFrame:
+    """The answer to each distinct question, by whichever way it went: q, route, intro, ids, total, spoken.
+
+    ``routed`` is what ``route_questions`` returned.  At most ``n`` programs of
+    an answer meet in one place; totals are counted beside them.
+    """
+    size = catalog.agg(F.count(F.lit(1)).alias("n")).scalar()
+    asked = routed["routes"].dropDuplicates(["q"])
+    told = catalog.select("id", "_ord", "name", _detail().alias("line"))
+
+    def listed(hits: DataFrame) -> DataFrame:
+        """Number and first programs of each question, in catalog order."""
+        totals = hits.groupBy("q").agg(F.count(F.lit(1)).alias("total"))
+        first = top_per(hits.select("q", "id", "_ord"), ["q"], [F.col("_ord")], n).drop("_ord")
+        rows = F.array_sort(F.collect_list(F.struct("_rn", "id", "name", "line")))
+        return first.join(told, "id").groupBy("q").agg(rows.alias("rows")).join(totals, "q")
+
+    named = listed(routed["named"].join(asked.where("route = 'named'").select("q"), "q", "left_semi"))
+    named = named.withColumns({"total": F.size("rows").cast("bigint"), "intro": F.array_join("rows.line", "\n\n")})
+    keyword = listed(routed["keyword"].join(asked.where("route = 'keyword'").select("q"), "q", "left_semi"))
+    keyword = keyword.withColumn("intro", F.concat(F.lit(vocab.ANSWERS["keyword"]), _more(F.col("total"), n)))
+    by_hand = named.unionByName(keyword).select("q", "total", "intro", F.col("rows.id").alias("ids"), F.col("rows.name").alias("names"))
+
+    filters = distinct_filters(routed["routes"])
+    rendered = render_answers(filters, match_filters(filters, catalog, centroids, n), catalog, size, site, n)
+    rendered = asked.where("route = 'filters'").select("q", "sig").join(
+        rendered.select("sig", "total", "intro", "ids", "names"), "sig").drop("sig")
+
+    words = {"{site}": F.lit(site), "{Site}": F.lit(site[:1].upper() + site[1:]), "{total}": size.cast("string"), "{zip}": F.col("near_zip")}
+
+    def text(fixed: str) -> Column:
+        out = F.lit(fixed)
+        for mark, value in words.items():
+            out = F.replace(out, F.lit(mark), value) if mark in fixed else out
+        return out
+
+    topic = A.faq_topic(F.col("q"))
+    fixed = F.coalesce(
+        *[F.when(F.col("route") == r, text(t)) for r, t in vocab.ANSWERS.items() if r != "keyword"],
+        *[F.when((F.col("route") == "faq") & (topic == k), text(t)) for k, t in vocab.FAQ_ANSWERS.items()])
+    none = F.array().cast("array<string>")
+    plain = asked.where(~F.col("route").isin("named", "keyword", "filters")).select(
+        "q", F.lit(0).cast("bigint").alias("total"), fixed.alias("intro"), none.alias("ids"), none.alias("names"))
+    answers = by_hand.unionByName(rendered).unionByName(plain)
+    names = F.coalesce("names", none)
+    aloud = F.trim(F.regexp_replace("intro", r"\s+", " "))
+    spoken = F.when(F.size(names) == 0, aloud).otherwise(F.concat(
+        aloud, F.lit(" The first programs are "), F.array_join(F.slice(names, 1, 3), ", "),
+        F.when(F.size(names) > 3, F.concat(F.lit(", and "), (F.size(names) - 3).cast("string"), F.lit(" more"))).otherwise(""), F.lit(".")))
+    return asked.select("q", "route").join(answers, "q").select(
+        "q", "route", "intro", F.coalesce("ids", none).alias("ids"), "total", spoken.alias("spoken"))

@@ -175,11 +175,14 @@ _TITLE = "array_to_string(list_transform(places, lambda p: array_to_string(list_
 _PLACE = f"""CASE WHEN near_zip IS NOT NULL THEN 'within 3 miles of ' || near_zip || CASE WHEN len(places) > 0 THEN ' in ' || {_TITLE} ELSE '' END WHEN len(places) > 0 THEN 'in ' || {_TITLE} ELSE '' END"""
 
 
-@query("q_render_answers", f"""{HEAD}, {SQL_ROUTES}, {SQL_MATCH}, l AS (SELECT a.*, {_LABEL} AS label, {_PLACE} AS place_text FROM asked a),
+SQL_RENDERED = f"""l AS (SELECT a.*, {_LABEL} AS label, {_PLACE} AS place_text FROM asked a),
   g AS (SELECT cost, after_min, before_min, hours_kind, days, age, age_group, topics, places, near_zip, where_asked, max(total) AS total, list(name ORDER BY place) AS names, array_to_string(list(id ORDER BY place), '|') AS ids FROM ranked WHERE place <= 8 GROUP BY ALL),
   x AS (SELECT r.*, coalesce(total, 0) AS total, coalesce(names, []) AS names, coalesce(ids, '') AS ids, CASE WHEN label <> '' THEN label || ' ' ELSE '' END || CASE WHEN total = 1 THEN 'program' ELSE 'programs' END || CASE WHEN place_text <> '' THEN ' ' || place_text ELSE '' END || ':' AS there FROM l r LEFT JOIN g k ON {_SAME}),
   y AS (SELECT *, CASE WHEN total = 0 THEN 'I couldn''t find a program that matches ' || array_to_string(list_filter([label, place_text], lambda z: z <> ''), ' ') || '. I only know the ' || (SELECT count(*) FROM catalog) || ' NYC programs listed for this directory. Try a borough, ZIP, or a topic like robotics.'
-    ELSE CASE WHEN where_asked THEN 'Here''s where to find ' || there ELSE 'I found ' || total || ' ' || there END || CASE WHEN total > 8 THEN ' Showing 8 of ' || total || '. Add a borough, ZIP, or topic to narrow it.' ELSE '' END END AS intro FROM x)
+    ELSE CASE WHEN where_asked THEN 'Here''s where to find ' || there ELSE 'I found ' || total || ' ' || there END || CASE WHEN total > 8 THEN ' Showing 8 of ' || total || '. Add a borough, ZIP, or topic to narrow it.' ELSE '' END END AS intro FROM x)"""
+
+
+@query("q_render_answers", f"""{HEAD}, {SQL_ROUTES}, {SQL_MATCH}, {SQL_RENDERED}
   SELECT intro, total, ids, CASE WHEN total = 0 THEN intro ELSE intro || ' The first programs are ' || array_to_string(names[1:3], ', ') || CASE WHEN len(names) > 3 THEN ', and ' || (len(names) - 3) || ' more' ELSE '' END || '.' END AS spoken FROM y""", PV)
 def render_answers(spark, d):
     catalog, centres = _catalog(spark, d), _centres(spark, d)
@@ -188,3 +191,35 @@ def render_answers(spark, d):
     size = catalog.agg(F.count(F.lit(1))).scalar()
     return Q.render_answers(filters, found, catalog, size).select(
         "intro", "total", F.coalesce(F.array_join("ids", "|"), F.lit("")).alias("ids"), "spoken")
+
+
+def _sql_text(fixed: str) -> str:
+    """SQL of a fixed answer text with its marks filled in."""
+    out = "'" + fixed.replace("'", "''").replace("{site}", "this directory").replace("{Site}", "This directory") + "'"
+    return out.replace("{total}", "' || (SELECT count(*) FROM catalog) || '").replace("{zip}", "' || near_zip || '")
+
+
+_FAQS = " ".join(
+    f"WHEN len(list_filter([{I.sql_list(ps)}], lambda p: contains(q, p))) > 0 THEN {_sql_text(vocab.FAQ_ANSWERS[t])}" for t, ps in vocab.FAQ_PHRASES.items())
+_FIXED = " ".join(f"WHEN '{r}' THEN {_sql_text(t)}" for r, t in vocab.ANSWERS.items() if r != "keyword")
+_LINE = """c.name || ' is in ' || CASE WHEN c.neighborhood <> '' AND c.area <> '' AND NOT contains(lower(c.neighborhood), lower(c.area)) THEN c.neighborhood || ', ' || c.area
+    WHEN c.neighborhood <> '' THEN c.neighborhood WHEN c.area <> '' THEN c.area ELSE c.location END || ', ' || c.hours_label || '. ' || c.cost_label || ', ' || c.ages || '.'
+    || CASE WHEN c.org <> '' THEN ' Run by ' || c.org || '.' ELSE '' END || CASE WHEN c.summary <> '' THEN ' ' || c.summary ELSE '' END"""
+_GROUPED = "list(name ORDER BY _ord) AS names, string_agg(id, '|' ORDER BY _ord) AS ids"
+
+
+@query("q_answers", f"""{HEAD}, {SQL_ROUTES}, {SQL_MATCH}, {SQL_RENDERED}, uq AS (SELECT * FROM routes QUALIFY row_number() OVER (PARTITION BY q ORDER BY qid) = 1),
+  nl AS (SELECT u.q, c.id, c.name, c._ord, {_LINE} AS line FROM uq u JOIN catalog c ON contains(u.q, lower(c.name)) WHERE u.route = 'named' QUALIFY row_number() OVER (PARTITION BY u.q ORDER BY c._ord) <= 8),
+  ng AS (SELECT q, count(*) AS total, string_agg(line, chr(10) || chr(10) ORDER BY _ord) AS intro, {_GROUPED} FROM nl GROUP BY 1),
+  kl AS (SELECT k.q, b.id, b.name, b._ord, row_number() OVER (PARTITION BY k.q ORDER BY b._ord) AS rn, count(*) OVER (PARTITION BY k.q) AS total
+    FROM kw k JOIN blobs b ON len(list_filter(k.w, lambda x: NOT contains(b.full_text, x))) = 0 WHERE k.q IN (SELECT q FROM uq WHERE route = 'keyword')),
+  kg AS (SELECT q, max(total) AS total, {_sql_text(vocab.ANSWERS['keyword'])} || CASE WHEN max(total) > 8 THEN ' Showing 8 of ' || max(total) || '. Add a borough, ZIP, or topic to narrow it.' ELSE '' END AS intro, {_GROUPED} FROM kl WHERE rn <= 8 GROUP BY 1),
+  answered AS (SELECT q, total, intro, names, ids FROM ng UNION ALL SELECT q, total, intro, names, ids FROM kg
+    UNION ALL SELECT r.q, k.total, k.intro, k.names, k.ids FROM uq r JOIN y k ON {_SAME} WHERE r.route = 'filters'
+    UNION ALL SELECT q, 0, CASE route WHEN 'faq' THEN CASE {_FAQS} END {_FIXED} END, [], '' FROM uq WHERE route NOT IN ('named', 'keyword', 'filters'))
+  SELECT u.q, u.route, a.intro, a.ids, a.total, trim(regexp_replace(a.intro, '\s+', ' ', 'g')) || CASE WHEN len(a.names) = 0 THEN '' ELSE ' The first programs are ' || array_to_string(a.names[1:3], ', ')
+    || CASE WHEN len(a.names) > 3 THEN ', and ' || (len(a.names) - 3) || ' more' ELSE '' END || '.' END AS spoken FROM uq u JOIN answered a ON a.q = u.q""", PV)
+def answers(spark, d):
+    """One answer for each distinct question, whichever way it went."""
+    catalog, centres = _catalog(spark, d), _centres(spark, d)
+    return Q.answer_questions(_routed(spark, d, catalog, centres), catalog, centres).withColumn("ids", F.array_join("ids", "|"))

@@ -348,6 +348,22 @@ FAQ_PHRASES = {
         "is my child safe",
     ],
 }
+# Fixed answer texts; {site} is what the directory calls itself, {total} its number of programs.
+ANSWERS = {
+    "empty": "Ask me about programs — what time they meet, whether they're free, who they're for, or where they are.",
+    "greeting": "Hi! I can help you find programs on {site}. Ask about a borough, ZIP, cost, age, or topic — for example, “free robotics in Brooklyn.”",
+    "help": "I can look up NYC programs by borough, ZIP, neighborhood, cost, age, and topic. Try “Which programs are free?”, “robotics in Brooklyn”, or “What's good for a 7 year old in 11213?” Clock times are only used when the city published them — I will not invent hours or prices.",
+    "unknown-zip": "I don't know ZIP {zip}, so I can't measure distance from it. Try a borough or a neighbourhood instead.",
+    "overview": "{Site} lists {total} K–5 programs across Brooklyn, the Bronx, Queens, Manhattan, and Staten Island. Ask for a borough, neighborhood, or ZIP — for example, “programs in Brooklyn” or “11213”.",
+    "keyword": "These are the closest matches I have:",
+    "none": "I can only answer from the program list of {site}, and I didn't find a match for that. Ask about free COMPASS programs, a borough or ZIP, ages, or topics like robotics or coding.",
+}
+FAQ_ANSWERS = {
+    "about": "{Site} lists K–5 STEM after-school programs in New York City. Names, addresses, ages, and seats come from NYC OpenData. Cost is marked Free only for DYCD COMPASS programs; Beacon and Cornerstone fees are not published, so those say Ask provider.",
+    "sign-up": "{Site} does not take sign-ups. Each program card links to the provider's website when we have it, otherwise to DiscoverDYCD (https://discoverdycd.dycdconnect.nyc/). Ask for a program by name if you want that link.",
+    "contact": "Contact the program provider. Ask for a program by name and I can point you to its sign-up page. City enrollment also runs through DiscoverDYCD.",
+    "safety": "{Site} does not inspect or vet programs, so I can't vouch for any of them. Every program listed holds a DYCD contract with New York City, which carries the city's own requirements, and DYCD publishes evaluation reports for program sites. For anything specific — staffing, ratios, background checks — ask the provider directly; each program card links to them.",
+}
 
 # --- requests, calls, fetches ---------------------------------------------
 RATE_MAX = 12

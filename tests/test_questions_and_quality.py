@@ -67,6 +67,30 @@ def test_routes_and_answers(spark):
     assert got[16] == ("filters", "I found 1 program in Harlem:", ["b"])
 
 
+def test_every_route_has_an_answer(spark):
+    catalog = spark.sql(CATALOG).selectExpr("*", "'Ask provider' AS hoursLabel", "CASE WHEN cost = 0 THEN 'Free' END AS costLabel", "'Grades K–5' AS ages")
+    centres = spark.createDataFrame([("11215", 40.668, -73.98)], "zip string, lat double, lng double")
+    asked = ["  ", None, "Hello!", "help?", "Is it safe for my child", "tell me about robot hall or CHESS HALL", "free robotics in brooklyn",
+             "chess near 99999", "what programs are there", "org c sum", "harlem chess", "sum open", "gibberish words here", "Hello!"]
+    parts = QU.route_questions(spark.createDataFrame(list(enumerate(asked)), "qid int, question string"), catalog, centres)
+    rows = QU.answer_questions(parts, catalog, centres, "the list", 2).collect()
+    got = {r["q"]: (r["route"], r["total"], list(r["ids"]), r["intro"], r["spoken"]) for r in rows}
+    assert len(rows) == len(got) == 12
+    assert got[""][:3] == ("empty", 0, []) and got["hello!"][3].startswith("Hi! I can help you find programs on the list.")
+    assert got["is it safe for my child"][0] == "faq" and got["is it safe for my child"][3].startswith("The list does not inspect")
+    named = got["tell me about robot hall or chess hall"]
+    assert named[:3] == ("named", 2, ["a", "b"])
+    assert named[3].startswith("Robot Hall is in Park Slope, Brooklyn, ") and "\n\nChess Hall is in Harlem, Manhattan, " in named[3]
+    assert "\n" not in named[4] and named[4].endswith(" The first programs are Robot Hall, Chess Hall.")
+    assert got["free robotics in brooklyn"][:4] == ("filters", 1, ["a"], "I found 1 free robotics program in Brooklyn:")
+    assert got["chess near 99999"][3].startswith("I don't know ZIP 99999,")
+    assert got["what programs are there"][3].startswith("The list lists 3 K–5 programs")
+    # Words of one or two letters do not count.
+    assert got["org c sum"][:4] == ("keyword", 3, ["a", "b"], "These are the closest matches I have: Showing 2 of 3. Add a borough, ZIP, or topic to narrow it.")
+    assert got["harlem chess"][0] == "filters" and got["sum open"][:3] == ("keyword", 3, ["a", "b"])
+    assert got["gibberish words here"][:3] == ("none", 0, [])
+
+
 def levels(df):
     return {r["check"]: r["level"] for r in df.collect()}
 
