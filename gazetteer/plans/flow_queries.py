@@ -277,11 +277,10 @@ def over_limit_stream(spark, d):
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     alerts = R.over_limit(
-        stream.select((F.col("user_id") % 10).alias("client"), F.col("ts").cast("timestamp").alias("ts")), limit=1, late="0 seconds")
+        stream.select((F.col("user_id") % 10).alias("client"), F.col("ts").cast("timestamp").alias("ts")), limit=1)
     out = _folder(spark, "alerts")
-    alerts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/progress").foreachBatch(
-        lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select(
+    R.write_alerts(alerts, out).awaitTermination()
+    return R.current_alerts(spark, out).select(
         "client", F.floor(F.unix_seconds("minute") / 60).alias("minute"), "requests")
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from gazetteer import vocab
@@ -43,7 +44,10 @@ def over_limit(
     stream: DataFrame, client: str = "client", at: str = "ts", limit: int = vocab.RATE_MAX,
     late: str = "1 minute",
 ) -> DataFrame:
-    """Streaming alert: client minutes with more requests than allowed."""
+    """Streaming alert: client minutes with more requests than allowed so far.
+
+    In update mode a minute is told again whenever its count has grown.
+    """
     return (
         stream.withWatermark(at, late)
         .groupBy(F.window(at, f"{vocab.RATE_WINDOW_S} seconds"), client)
@@ -53,6 +57,23 @@ def over_limit(
     )
 
 
+def store_alerts(alerts: DataFrame, batch: int, out: str) -> None:
+    """Store what one micro-batch told; a repeated batch replaces itself."""
+    alerts.write.mode("overwrite").parquet(f"{out}/alerts/batch={batch}")
+
+
+def write_alerts(alerts: DataFrame, out: str) -> StreamingQuery:
+    """Run the alert over everything available; only minutes that changed are written."""
+    return (
+        alerts.writeStream.outputMode("update").option("checkpointLocation", f"{out}/progress")
+        .foreachBatch(lambda df, batch: store_alerts(df, batch, out)).trigger(availableNow=True).start())
+
+
+def current_alerts(spark: SparkSession, out: str, client: str = "client") -> DataFrame:
+    """The latest count of each client minute; counts only grow, so it is the greatest told."""
+    return spark.read.parquet(f"{out}/alerts").groupBy(client, "minute").agg(F.max("requests").alias("requests"))
+
+
 # --- sliding window -----------------------------------------------------------
 
 def admit(recent: list[float], now: float, limit: int, window_s: float) -> tuple[list[float], int | None]:

@@ -179,6 +179,28 @@ def test_sliding_stream_equals_batch(spark, tmp_path):
     assert {r["client"] for r in got} == {"c0", "c1", "c2"}
 
 
+def test_alerts_equal_batch_after_three_batches_and_a_replay(spark, tmp_path):
+    rng, schema, out = random.Random(5), "client string, ts timestamp", str(tmp_path / "out")
+    rows = [(f"c{rng.randrange(3)}", at(i * 2)) for i in range(600)]
+    told = []
+    for low in (0, 200, 400):
+        spark.createDataFrame(rows[low:low + 200], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        R.write_alerts(R.over_limit(stream, limit=9), out).awaitTermination()
+        told.append({tuple(r) for r in R.current_alerts(spark, out).collect()})
+    counts = {}
+    for c, t in rows:
+        counts[c, t.replace(second=0)] = counts.get((c, t.replace(second=0)), 0) + 1
+    want = {(c, m, n) for (c, m), n in counts.items() if n > 9}
+    assert told[2] == want and told[0] and not told[0] - {(c, m, n) for c, m, n in want | told[0]}
+    batches = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "alerts").glob("batch=*"))
+    assert len(batches) >= 3
+    first = spark.read.parquet(f"{out}/alerts/batch={batches[0]}")
+    again = spark.createDataFrame(first.collect(), first.schema)
+    R.store_alerts(again, batches[0], out)  # the first batch is told once more
+    assert {tuple(r) for r in R.current_alerts(spark, out).collect()} == want
+
+
 def test_late_requests_and_other_names(spark, tmp_path):
     schema = "who long, seen timestamp, n int"
     first = [(5, at(100), i) for i in range(3)]
