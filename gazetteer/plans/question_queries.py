@@ -217,7 +217,7 @@ _GROUPED = "list(name ORDER BY _ord) AS names, string_agg(id, '|' ORDER BY _ord)
   answered AS (SELECT q, total, intro, names, ids FROM ng UNION ALL SELECT q, total, intro, names, ids FROM kg
     UNION ALL SELECT r.q, k.total, k.intro, k.names, k.ids FROM uq r JOIN y k ON {_SAME} WHERE r.route = 'filters'
     UNION ALL SELECT q, 0, CASE route WHEN 'faq' THEN CASE {_FAQS} END {_FIXED} END, [], '' FROM uq WHERE route NOT IN ('named', 'keyword', 'filters'))
-  SELECT u.q, u.route, a.intro, a.ids, a.total, trim(regexp_replace(a.intro, '\s+', ' ', 'g')) || CASE WHEN len(a.names) = 0 THEN '' ELSE ' The first programs are ' || array_to_string(a.names[1:3], ', ')
+  SELECT u.q, u.route, a.intro, a.ids, a.total, trim(regexp_replace(a.intro, '\\s+', ' ', 'g')) || CASE WHEN len(a.names) = 0 THEN '' ELSE ' The first programs are ' || array_to_string(a.names[1:3], ', ')
     || CASE WHEN len(a.names) > 3 THEN ', and ' || (len(a.names) - 3) || ' more' ELSE '' END || '.' END AS spoken FROM uq u JOIN answered a ON a.q = u.q""", PV)
 def answers(spark, d):
     """One answer for each distinct question, whichever way it went."""
