@@ -12,18 +12,19 @@ Equal strings lie in items with equal anchor hashes.
 1. Anchor hashes are counted, with the least and greatest hash of a context.
    Hashes met twice or more become a bitmap of at most ``MAX_BITS`` bits; so do
    those with different contexts.  A bitmap that is too small lets more items
-   through, which the join of step 2 removes.  Items of an anchor with over a
-   thousandth of all repeated ones are dealt to numbered lots there, one for
-   each such part; there are at most ``SHARE`` such anchors and twice as many lots.
-2. A second pass emits only items whose anchor may be repeated.  Where all
-   contexts of an anchor are equal, every string in them repeats.
+   through, which the joins and counts of later steps remove.
+2. A second pass stores, once, the items whose anchor may be repeated; where
+   its contexts may differ, one item of each context and batch brings the bytes.
+   Where all contexts of an anchor are equal, every string in them repeats.
 3. Other contexts, once each, are suffix-sorted together per anchor (ranks of
    doubled lengths up to LENGTH).  Previous and next smaller positions in suffix
    order give each string's earlier matches, and mirrored its later ones.
    Anchors with more than ``LARGE`` different contexts skip the sort, so that no
    task holds them: their strings are counted by 128-bit hashes, which
    aggregates within tasks first.
-4. Starts go back to their documents and the covered bytes are cut.
+4. Starts go back to their documents and the covered bytes are cut.  Anchors and
+   contexts with over a thousandth of all repeated items are dealt to numbered
+   lots in the joins; there are at most ``SHARE`` of them.
 
 ``keep_first`` keeps the first copy of each string, by key, text hash and
 position; otherwise all copies go.  Contexts are told apart by 128 bits of
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazetteer.llm.common import bounded, raw_bytes, texts_of
+from gazetteer.llm.common import bounded, raw_bytes, texts_of, written
 from gazetteer.session import cut_lineage
 
 LENGTH, GRAM = 200, 64
@@ -118,12 +119,18 @@ def _may(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
-def _lots(ah: np.ndarray, hot: np.ndarray, lots: np.ndarray) -> np.ndarray:
-    """Number of lots of each anchor: that of a hot one, else one."""
-    if not len(hot):
-        return np.ones(len(ah), np.int64)
-    at = np.minimum(np.searchsorted(hot, ah), len(hot) - 1)
-    return np.where(hot[at] == ah, lots[at], 1)
+def _meet(rows: DataFrame, answers: DataFrame, by: list[str], hot: DataFrame) -> DataFrame:
+    """Rows joined to the one answer of their ``by`` values.
+
+    ``hot`` names values with over a ``SHARE``-th of all rows, at most SHARE of
+    them, and their lots; rows of these are dealt to the lots, each with a copy
+    of the answer.
+    """
+    hot = F.broadcast(hot)
+    count = F.coalesce("lots", F.lit(1).cast("long"))
+    rows = rows.join(hot, by, "left").withColumn("_lot", F.pmod(F.xxhash64("key", "th", "start"), count)).drop("lots")
+    answers = answers.join(hot, by, "left").withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).drop("lots")
+    return rows.join(answers, [*by, "_lot"]).drop("_lot")
 
 
 def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -271,9 +278,6 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, keep_first: bool = Fa
         F.count(F.lit(1)).alias("n"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("n > 1")
     met = cut_lineage(met.selectExpr("ah", "n", "lo <> hi AS mixed"))
     n, total = met.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    lots = F.ceil(F.col("n") * SHARE / F.lit(max(total, 1))).cast("long")  # one but for hot anchors
-    hot = met.where(lots > 1).select("ah", lots.alias("lots")).orderBy("ah").collect()  # at most SHARE rows
-    hot_anchor, hot_lots = (np.array([r[i] for r in hot], np.int64) for i in (0, 1))
     bits = 1 << 15
     while bits < 16 * n and bits < max_bits:
         bits *= 2
@@ -286,60 +290,66 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, keep_first: bool = Fa
             doc, low, n, ah, ch = items(data, offsets, length)
             keep = np.flatnonzero(_may(repeated, ah))
             doc, low, n, ah, ch = doc[keep], low[keep], n[keep], ah[keep], ch[keep]
-            body = data.tobytes()
-            contexts = [body[a: a + m - 1 + length] if x else None
-                        for a, m, x in zip(low.tolist(), n.tolist(), _may(mixed, ah).tolist(), strict=True)]
+            sort = _may(mixed, ah)
+            bring = np.zeros(len(ah), bool)  # one of each context of the batch brings its bytes
+            some = np.flatnonzero(sort)
+            order = some[np.lexsort((ch[some], ah[some]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (ah[order][1:] != ah[order][:-1]) | (ch[order][1:] != ch[order][:-1])
+            bring[order[new]] = True
+            body = memoryview(data)
+            contexts = [bytes(body[a: a + m - 1 + length]) if x else None
+                        for a, m, x in zip(low.tolist(), n.tolist(), bring.tolist(), strict=True)]
             take = pa.array(doc)
-            start = low - offsets[:-1][doc]
-            with np.errstate(over="ignore"):
-                drawn = _mix(batch.column(3).to_numpy().view(np.uint64)[doc] + start.astype(np.uint64)) >> np.uint64(1)
-            lot = drawn.view(np.int64) % _lots(ah.view(np.int64), hot_anchor, hot_lots)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(2).take(take), pa.array(start), pa.array(n), pa.array(ah.view(np.int64)),
-                 pa.array(ch.view(np.int64)), pa.array(lot), pa.array(contexts, pa.binary())],
-                names=["key", "th", "start", "starts", "ah", "ch", "lot", "ctx"])
+                [batch.column(0).take(take), batch.column(2).take(take), pa.array(low - offsets[:-1][doc]), pa.array(n),
+                 pa.array(ah.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(sort), pa.array(contexts, pa.binary())],
+                names=["key", "th", "start", "starts", "ah", "ch", "sort", "ctx"])
 
-    found = rows.select("key", "text", "th", F.xxhash64("key", "th")).mapInArrow(wide, T.StructType([
+    found = written(rows.select("key", "text", "th").mapInArrow(wide, T.StructType([
         T.StructField("key", rows.schema["key"].dataType), T.StructField("th", T.LongType()), T.StructField("start", T.LongType()),
         T.StructField("starts", T.LongType()), T.StructField("ah", T.LongType()), T.StructField("ch", T.LongType()),
-        T.StructField("lot", T.LongType()), T.StructField("ctx", T.BinaryType())]))
-    dealt = met.select(F.col("ah").alias("_ah"), "mixed", F.explode(F.sequence(F.lit(0).cast("long"), lots - 1)).alias("_lot"))
-    found = found.join(dealt, (F.col("ah") == F.col("_ah")) & (F.col("lot") == F.col("_lot"))).drop("_ah", "lot", "_lot")
+        T.StructField("sort", T.BooleanType()), T.StructField("ctx", T.BinaryType())])))
+    lots = F.when(F.col("n") > 1, F.ceil(F.col("n") * SHARE / F.lit(max(total, 1)))).cast("long")
     where = F.struct("key", "th", "start")
-    same = found.where("NOT mixed").select("key", "th", "start", "starts", "ah")
+
+    hot = met.where(~F.col("mixed") & (lots > 1)).select("ah", lots.alias("lots"))
+    same = _meet(found.where("NOT sort").select("key", "th", "start", "starts", "ah"), met.select("ah"), ["ah"], hot)
     if keep_first:
-        owner = same.groupBy(F.col("ah").alias("_ah")).agg(F.min(where).alias("own"))
-        same = same.join(owner, F.col("ah") == F.col("_ah")).where(~where.eqNullSafe(F.col("own")))
+        owner = same.groupBy("ah").agg(F.min(where).alias("own"))
+        same = _meet(same, owner, ["ah"], hot).where(~where.eqNullSafe(F.col("own")))
     same = same.select("key", "th", F.array(F.col("start"), F.col("starts")).alias("spans"))
 
-    mixed = found.where("mixed")
-    once = mixed.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("n"), F.first("ctx").alias("ctx"), F.min(where).alias("own"))
-    once = once.withColumn("first", F.xxhash64("own"))
+    mixed = found.where("sort")
+    tally = mixed.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("n"))
+    many = tally.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > large).select("ah")
+    once = mixed.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("n"), F.first("ctx", ignorenulls=True).alias("ctx"),
+                                         *([F.min(where).alias("own")] if keep_first else []))
     if keep_first:  # positions in the order of first occurrences, inside each anchor
         once = once.withColumn("first", F.row_number().over(Window.partitionBy("ah").orderBy("own")).cast("long"))
-    sizes = mixed.select("ah", "ch").distinct().groupBy(F.col("ah").alias("_ah")).agg(F.count(F.lit(1)).alias("kinds"))
-    sized = once.join(sizes, F.col("ah") == F.col("_ah")).drop("_ah")
-    few = sized.where(F.col("kinds") <= large).select("ah", "ch", "n", "first", "ctx")
+    else:
+        once = once.withColumn("first", F.col("ch"))
+    few = once.join(many, "ah", "left_anti").select("ah", "ch", "n", "first", "ctx")
     answer = "ah long, ch long, every array<int>, later array<int>"
     solved = few.repartition("ah").sortWithinPartitions("ah").mapInArrow(lambda b: _sort_contexts(b, length), answer)
-    strings = sized.where(F.col("kinds") > large).select("ah", "ch", "n", "first", "ctx").mapInArrow(
+    strings = once.join(many, "ah", "left_semi").select("ah", "ch", "n", "first", "ctx").mapInArrow(
         lambda b: _hash_strings(b, length), "ah long, ch long, n long, first long, place int, h1 long, h2 long")
     counts = strings.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(
         F.sum("n").alias("times"), F.min(F.struct("first", "ch", "place")).alias("head")).where("times > 1")
     hit = strings.join(counts, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
     one = F.array(F.col("place"), F.lit(1))
     is_head = F.struct("first", "ch", "place") == F.col("head")
-    hot = hit.groupBy("ah", "ch").agg(
+    counted = hit.groupBy("ah", "ch").agg(
         F.flatten(F.collect_list(one)).alias("every"), F.flatten(F.collect_list(F.when(~is_head, one))).alias("later"))
-    solved = solved.unionByName(hot).withColumnsRenamed({"ah": "_ah", "ch": "_ch"})
+    solved = solved.unionByName(counted).where((F.size("every") > 0) | (F.size("later") > 0))
     back = mixed.select("key", "th", "start", "ah", "ch")
+    hot = tally.where(lots > 1).select("ah", "ch", lots.alias("lots"))
     if keep_first:
-        heads = once.select(F.col("ah").alias("__ah"), F.col("ch").alias("__ch"), "own")
-        back = back.join(heads, (F.col("ah") == F.col("__ah")) & (F.col("ch") == F.col("__ch")))
+        back = _meet(back, once.select("ah", "ch", "own"), ["ah", "ch"], hot)
         chosen = F.when(where.eqNullSafe(F.col("own")), F.col("later")).otherwise(F.col("every"))
     else:
         chosen = F.col("every")
-    back = back.join(solved, (F.col("ah") == F.col("_ah")) & (F.col("ch") == F.col("_ch"))).select("key", "th", "start", chosen.alias("runs"))
+    back = _meet(back, solved, ["ah", "ch"], hot).select("key", "th", "start", chosen.alias("runs"))
     back = back.where(F.size("runs") > 0).select("key", "th", F.transform(
         "runs", lambda x, i: F.when(i % 2 == 0, x + F.col("start")).otherwise(x.cast("long"))).alias("spans"))
     return same.unionByName(back).groupBy("key", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
