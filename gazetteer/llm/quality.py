@@ -220,14 +220,22 @@ def base_fails(base: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id",
-                  most: int = TRAIN_ROWS) -> DataFrame:
-    """Texts and labels (x, y) of at most ``most`` labelled documents of each class."""
+                  most: int = TRAIN_ROWS, largest: int | None = None) -> DataFrame:
+    """Texts and labels (id, x, y) of at most ``most`` labelled documents of each class, one row per key.
+
+    Of rows that repeat a key, the text with the smallest hash stands for all.
+    Texts of over ``largest`` bytes, where given, are left out of the sample.
+    """
     votes = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(
         F.col(key).alias("_of")).agg(F.max(label).cast("int").alias("y"))
     order = [F.xxhash64("_of"), F.col("_of")]
     few = votes.where("y = 0").orderBy(*order).limit(most).unionByName(votes.where("y = 1").orderBy(*order).limit(most))
-    return docs.select(F.col(key).alias("_id"), F.col(text).alias("x")).join(
-        F.broadcast(few), F.col("_id") == F.col("_of")).select(F.col("_id").alias("id"), "x", "y")
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("x"))
+    if largest is not None:
+        rows = rows.where(F.octet_length(F.coalesce("x", F.lit(""))) <= largest)
+    rows = rows.join(F.broadcast(few), F.col("_id") == F.col("_of"))  # at most two times ``most`` rows
+    one = rows.groupBy("_id", "y").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x")).alias("least"))
+    return one.select(F.col("_id").alias("id"), F.col("least.x").alias("x"), "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality",

@@ -257,14 +257,24 @@ def weak_labels(found: DataFrame) -> DataFrame:
 
 
 def train(found: DataFrame, labels: DataFrame, chances: np.ndarray, words: list[str], most: int = TRAIN_ROWS) -> Forest | float:
-    """Grow the forest on a bounded sample of labelled findings (doc_id, start, label)."""
+    """Grow the forest on at most ``most`` labelled places (doc_id, start, label) of each label, one finding a place."""
     place, known = F.xxhash64("_doc", "_start"), frozenset(words)
     marked = labels.where("label IS NOT NULL").select(F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), "label")
+    marked = marked.distinct()
     few = marked.where("label = 0").orderBy(place, "_doc", "_start").limit(most).unionByName(
-        marked.where("label = 1").orderBy(place, "_doc", "_start").limit(most)).distinct()
+        marked.where("label = 1").orderBy(place, "_doc", "_start").limit(most))
     rows = found.join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("start") == F.col("_start")))
-    rows = rows.select("candidate", "before", "after", "path", "label").collect()
-    rows = sorted((features(r["candidate"], r["before"], r["after"], r["path"], chances, known), r["label"]) for r in rows)
+    rows = rows.groupBy("_doc", "_start", "label").agg(F.min(F.struct("candidate", "before", "after", "path")).alias("least"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, label = (c.to_pylist() for c in batch.columns)
+            made = [list(map(float, features(*row, chances, known))) for row in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), pa.array(label, pa.int32())], names=["f", "y"])
+
+    rows = rows.select("least.candidate", "least.before", "least.after", "least.path", F.col("label").cast("int")).mapInArrow(
+        measure, "f array<double>, y int").collect()  # one row a place, numbers only
+    rows = sorted((r["f"], r["y"]) for r in rows)
     y = np.array([r[1] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return float(y[0]) if len(y) else 0.0
