@@ -8,9 +8,10 @@ principle two fingerprints within four bits have a starting segment from which
 every chain of l consecutive segments differs in at most l * 4 / 5 bits.  The
 first ``chain`` segments of that chain make the bucket key (the first equal,
 later ones within their budgets, met by trying the allowed flips), so a key
-holds 26 or 39 bits and buckets stay small; the whole chain is checked before
-the full Hamming distance.  ``chain`` grows with the number of distinct
-fingerprints, which changes the cost, never the links.
+of two segments holds 26 bits; the whole chain is checked before the full
+Hamming distance.  A fingerprint has 21 to 37 keys at every size of the input,
+so the shuffle grows in proportion.  A longer ``chain`` makes smaller buckets
+and many more keys (667 at three segments); it never changes the links.
 
 Buckets meet as sorted runs inside tasks.  Small ones compare their pairs; in a
 large one labels spread over blocks of bounded size and only a star per
@@ -43,6 +44,7 @@ SHINGLE, SEED, MAX_BITS = 4, 42, 4
 CUTS = [0, 13, 26, 39, 52, 64]
 SEGMENTS = len(CUTS) - 1
 BUDGETS = [length * MAX_BITS // SEGMENTS for length in range(1, SEGMENTS + 1)]
+CHAIN = 2
 SMALL_PAIRS = 1 << 14
 BLOCK_CELLS = 1 << 22
 
@@ -247,10 +249,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from run(held_key, held_fp)
 
 
-def links(distinct: DataFrame, chain: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, chain: int = CHAIN) -> DataFrame:
     """Links (a, b) that connect every two of the given distinct fingerprints within the distance."""
-    if chain is None:
-        chain = 2 if distinct.count() <= 1 << 24 else 3
     rows = distinct.select("fp").mapInArrow(_keys(chain), "bucket long, fp long")
     met = rows.repartition(F.shiftright("bucket", 1)).sortWithinPartitions("bucket")
     return met.mapInArrow(_links, "a long, b long").where("a <> b").select(
