@@ -4,11 +4,13 @@ A word enters as two vectors: an embedding of the word, for words that
 training met in several documents, and the mean embedding of its hashed
 character trigrams.  A network with gated recurrent units reads each window of
 words in both directions; attention pools its states into one vector and a
-logistic unit scores it.  All overlapping windows of a text are scored and the
-text takes the largest logit.
+logistic unit scores it.  Overlapping windows start every ``STRIDE`` words, so
+that a passage of up to 49 words lies whole in one of them; all are scored and
+the text takes the largest logit.
 
 Training takes at most ``TRAIN_ROWS`` labelled documents of each class (those
-with the smallest hash of their id), first on windows drawn at random, then on
+with the smallest hash of their id; texts over ``TRAIN_BYTES`` are left out of
+this sample only), first on windows drawn at random, then on
 each document's highest window.  The output is shifted to the share of class 1
 among all labels that may be learned from.  Scoring reads the text alone, in
 Arrow batches of bounded size; input projections are computed once per distinct
@@ -35,10 +37,10 @@ from pyspark.sql import types as T
 from gazetteer.llm.common import bounded, raw_bytes, split_words, texts_of
 from gazetteer.llm.quality import training_rows
 
-TRAIN_ROWS = 800
+TRAIN_ROWS, TRAIN_BYTES = 800, 1 << 16
 VOCABULARY, LEAST_DOCUMENTS, TRIGRAMS = 20_000, 3, 4096
 WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 12, 12, 8, 8
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 16
 RANDOM_STEPS, HIGHEST_STEPS, REFRESH, RATE, STEP = 60, 90, 30, 0.01, 128
 CHUNK = 512
 THRESHOLD = 0.3
@@ -149,6 +151,50 @@ class Network:
         logit = pooled @ p["out"] + p["base"][0]
         return (logit, (saved, both, looked, share, pooled)) if keep else logit
 
+    def full_windows(self, vectors: np.ndarray):
+        """Function from codes (n, t) of windows without padding to logits; as ``forward``, in reused buffers."""
+        p, size = self.p, HIDDEN
+        table = np.matmul(vectors[None], p["input"]) + p["bias"]
+        # a sigmoid is a tanh of half its input
+        gate_table = np.ascontiguousarray(table[..., : 2 * size] * np.float32(0.5)).reshape(-1, 2 * size)
+        new_table = np.ascontiguousarray(table[..., 2 * size:]).reshape(-1, size)
+        gate_state = np.ascontiguousarray(p["state"][..., : 2 * size] * np.float32(0.5))
+        new_state = np.ascontiguousarray(p["state"][..., 2 * size:])
+        words, half = len(vectors), np.float32(0.5)
+
+        def run(codes: np.ndarray) -> np.ndarray:
+            n, t = codes.shape
+            steps = np.stack([codes.T, codes.T[::-1] + words], 1)
+            states = np.empty((t, 2, n, size), np.float32)
+            gates, hidden = np.empty((2, n, 2 * size), np.float32), np.empty((2, n, 2 * size), np.float32)
+            new, through = np.empty((2, n, size), np.float32), np.empty((2, n, size), np.float32)
+            h = np.zeros((2, n, size), np.float32)
+            for i in range(t):
+                np.take(gate_table, steps[i], axis=0, out=gates, mode="clip")
+                np.matmul(h, gate_state, out=hidden)
+                gates += hidden
+                np.tanh(gates, out=gates)
+                gates *= half
+                gates += half
+                np.matmul(h, new_state, out=through)
+                through *= gates[..., size:]
+                np.take(new_table, steps[i], axis=0, out=new, mode="clip")
+                new += through
+                np.tanh(new, out=new)
+                h -= new
+                h *= gates[..., :size]
+                h += new
+                states[i, 0], states[t - 1 - i, 1] = h[0], h[1]
+            looked = np.matmul(states[:, 0], p["look"][:size])
+            looked += np.matmul(states[:, 1], p["look"][size:])
+            np.tanh(looked, out=looked)
+            weight = looked @ p["weigh"]
+            weight = np.exp(weight - weight.max(0))
+            value = states[:, 0] @ p["out"][:size] + states[:, 1] @ p["out"][size:]
+            return (weight * value).sum(0) / weight.sum(0) + p["base"][0]
+
+        return run
+
     def backward(self, codes, vectors, d_logit, memory) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of all weights but the embeddings, and of the word vectors."""
         saved, both, looked, share, pooled = memory
@@ -200,11 +246,10 @@ class Network:
         begins = [starts[d] + np.array(windows(int(sizes[d]))) for d in long]
         owner = np.repeat(long, [len(b) for b in begins])
         begin = np.concatenate(begins) if begins else np.zeros(0, np.int64)
-        full = np.full(CHUNK, WINDOW)
+        logits = self.full_windows(vectors)
         for low in range(0, len(begin), CHUNK):
             own = begin[low: low + CHUNK, None] + np.arange(WINDOW)
-            logit = self.forward(codes[own], full[: len(own)], vectors)
-            np.maximum.at(best, owner[low: low + CHUNK], logit)
+            np.maximum.at(best, owner[low: low + CHUNK], logits(codes[own]))
         short = np.flatnonzero((sizes > 0) & (sizes < WINDOW))
         short = short[np.argsort(sizes[short], kind="stable")]
         for low in range(0, len(short), CHUNK):
@@ -292,7 +337,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Fit on a bounded sample outside the held-out fold; a constant where there is one class or none."""
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     counts = usable.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("ones")).first()
-    rows = training_rows(docs, usable, label, text, key, most).select("id", F.coalesce("x", F.lit("")).alias("x"), "y").collect()
+    rows = training_rows(docs, usable, label, text, key, most, TRAIN_BYTES).select("id", F.coalesce("x", F.lit("")).alias("x"), "y").collect()
     rows.sort(key=lambda r: (r["id"], r["y"], r["x"]))
     y = np.array([r["y"] for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
