@@ -147,12 +147,10 @@ def union_candidates(known: DataFrame, generated: DataFrame, guessed: DataFrame
 
 
 def targets(df: DataFrame, stage: str) -> DataFrame:
-    """Rows a stage still has to work on."""
-    rules = {
-        "resolve": ~F.coalesce(F.col("locked"), F.lit(False)) & F.col("website").isNull()
-        if stage == "resolve" else None,
-        "crawl": F.col("website").isNotNull() if stage == "crawl" else None,
-        "extract": F.size("pages") > 0 if stage == "extract" else None,
-        "images": F.size("images") > 0 if stage == "images" else None,
-    }
-    return df.where(rules[stage])
+    """Rows a stage still has to work on; pages and images come as counts, which stay small."""
+    return df.where({
+        "resolve": "NOT coalesce(locked, false) AND website IS NULL",
+        "crawl": "website IS NOT NULL",
+        "extract": "n_pages > 0",
+        "images": "n_images > 0",
+    }[stage])

@@ -163,11 +163,12 @@ def roster(spark, d):
         "provider", "site_count", F.array_join("boroughs", "|").alias("boroughs"))
 
 
-@query("q_merge_prior", f"""WITH {I.SQL_FACTS} SELECT r.provider, f.website, f.confidence, f.source FROM
+@query("q_merge_prior", f"""WITH {I.SQL_FACTS} SELECT r.provider, f.website, f.confidence, f.source,
+  regexp_extract(f.website, '//([^/]+)', 1) AS resolved_via, coalesce(f.provider LIKE '%7 Inc', false) AS locked FROM
   (SELECT DISTINCT trim(provider) AS provider FROM sites_raw WHERE {I.SQL_COHORT} AND trim(provider) <> '') r
   LEFT JOIN facts f ON f.provider = r.provider""", ("sites_raw", "facts_raw"))
 def merge_prior(spark, d):
-    return I.roster(spark, d).select("provider", "website", "confidence", "source")
+    return I.roster(spark, d).select("provider", "website", "confidence", "source", "resolved_via", "locked")
 
 
 @query("q_zip_stats", f"WITH {I.SQL_PROGRAMS}, {I.SQL_ZIPS} SELECT zip, lat, lng, sites_all, now FROM zips", PV)

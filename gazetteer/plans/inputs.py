@@ -41,8 +41,9 @@ def programs(spark: SparkSession, d: str) -> DataFrame:
 def roster(spark: SparkSession, d: str) -> DataFrame:
     """Roster of the cohort with what earlier runs found out."""
     new = D.roster(D.filter_cohort(view(spark, d, "sites_raw")))
-    prior = facts(spark, d).withColumn("resolved_via", F.regexp_extract("website", "//([^/]+)", 1))
-    return D.merge_prior(new, prior, ["website", "confidence", "source", "resolved_via"])
+    prior = facts(spark, d).withColumn("resolved_via", F.regexp_extract("website", "//([^/]+)", 1)).withColumn(
+        "locked", F.endswith("provider", F.lit("7 Inc")))
+    return D.merge_prior(new.withColumn("locked", F.lit(False)), prior, ["website", "confidence", "source", "resolved_via", "locked"])
 
 
 def zips(spark: SparkSession, d: str) -> DataFrame:

@@ -33,7 +33,8 @@ _ZERO = "UNION ALL SELECT '{}', 'pass', 0 "
 SQL_QUALITY = " UNION ALL ".join(
     f"SELECT '{n}' AS check, CASE WHEN count(*) FILTER (NOT coalesce({r}, false)) = 0 THEN 'pass' ELSE 'fail' END AS level, count(*) FILTER (NOT coalesce({r}, false)) AS failing FROM programs p"
     for n, r in _RULES.items()) + " " + "".join(
-    _ZERO.format(n) for n in ("ids-unique", "counts-match", "density-matches", "version-declared"))
+    _ZERO.format(n) for n in ("counts-match", "density-matches", "version-declared")) + """UNION ALL SELECT 'ids-unique', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END, count(*) FROM
+  (SELECT id FROM programs GROUP BY id HAVING count(*) > 1)"""
 
 
 @query("q_quality", f"WITH {I.SQL_PROGRAMS} {SQL_QUALITY}", PV)
@@ -53,7 +54,7 @@ SQL_CHECKS = f"""last AS (SELECT * FROM facts), c AS (SELECT lower(split_part(ur
 @query("q_stage_checks", f"""WITH {I.SQL_FACTS}, {SQL_CHECKS}
   SELECT 'resolve' AS stage, 'some-verified' AS check, CASE WHEN count(website) > 0 THEN 'pass' ELSE 'fail' END AS level FROM r UNION ALL
   SELECT 'resolve', 'confidence-known', CASE WHEN count(*) FILTER (website <> '' AND coalesce(confidence, '') NOT IN ('strong', 'acronym')) = 0 THEN 'pass' ELSE 'fail' END FROM r UNION ALL
-  SELECT 'resolve', 'route-recorded', 'pass' UNION ALL
+  SELECT 'resolve', 'route-recorded', CASE WHEN count(*) FILTER (website <> '' AND regexp_extract(website, '//([^/]+)', 1) = '') = 0 THEN 'pass' ELSE 'warn' END FROM r UNION ALL
   SELECT 'extract', 'facts-cover', CASE WHEN (SELECT count(*) FROM r WHERE provider NOT IN (SELECT provider FROM facts)) = 0 THEN 'pass' ELSE 'fail' END UNION ALL
   SELECT 'extract', 'all-by-model', CASE WHEN count(*) FILTER (method = 'gemini') = count(*) THEN 'pass' ELSE 'warn' END FROM facts UNION ALL
   SELECT 'extract', 'tools-backed', CASE WHEN count(*) FILTER (method = 'gemini') = 0 THEN 'warn' WHEN count(*) FILTER (method = 'gemini' AND len(tools) > 0 AND len(evidence) = 0) = 0 THEN 'pass' ELSE 'fail' END FROM facts UNION ALL
@@ -94,6 +95,20 @@ def staleness(spark, d):
         "input", F.unix_micros("changed_at").alias("changed_us"), "stale")
 
 
+@query("q_build_checks", f"""WITH {I.SQL_PROGRAMS}, late AS (SELECT count(*) AS n FROM
+    (SELECT max(ts) AS last FROM events WHERE event_type IN ('click', 'error', 'purchase', 'signup') GROUP BY event_type)
+    WHERE last > (SELECT max(ts) FROM events WHERE event_type = 'view'))
+  SELECT 'build' AS stage, 'newer-than-inputs' AS check, CASE WHEN n = 0 THEN 'pass' ELSE 'warn' END AS level FROM late UNION ALL
+  SELECT 'build', 'ids-unique', CASE WHEN count(*) = count(DISTINCT id) THEN 'pass' ELSE 'fail' END FROM programs UNION ALL
+  SELECT 'build', 'tools-are-arrays', CASE WHEN count(*) FILTER (tools IS NULL) = 0 THEN 'pass' ELSE 'fail' END FROM programs UNION ALL
+  SELECT 'build', 'free-not-by-keyword', CASE WHEN count(*) FILTER (tier = 'free' AND method = 'keyword') = 0 THEN 'pass' ELSE 'warn' END FROM programs""", PV)
+def build_checks(spark, d):
+    """Checks of the built dataset against the inputs it was made from."""
+    events = table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("updated_at"))
+    inputs = {t: events.where(F.col("event_type") == t) for t in ("click", "error", "purchase", "signup")}
+    return Q.check_build(cut_lineage(I.programs(spark, d)), Q.stale_inputs(events.where("event_type = 'view'"), inputs))
+
+
 @query("q_near_duplicates", """WITH RECURSIVE t AS (
   SELECT source, doc_id, split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
   u AS (SELECT source, doc_id, len(w) AS size, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM t),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazetteer import vocab
@@ -341,3 +344,25 @@ def targets(spark, d):
         "provider", F.lit(s == "resolve").alias("todo_resolve"), F.lit(s == "crawl").alias("todo_crawl"))
         for s in ("resolve", "crawl")]
     return rows[0].unionByName(rows[1])
+
+
+@query("q_stage_targets", """WITH last AS (SELECT provider, website FROM
+    (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY _ord DESC) AS rn FROM facts_raw) WHERE rn = 1),
+  p AS (SELECT lower(split_part(url, '/', 3)) AS host, count(*) AS n FROM pages GROUP BY 1),
+  i AS (SELECT provider, count(*) AS n FROM photos_raw GROUP BY 1),
+  s AS (SELECT last.provider, website, coalesce(ends_with(last.provider, '7 Inc'), false) AS locked, p.n AS n_pages, i.n AS n_images FROM last
+    LEFT JOIN p ON p.host = regexp_extract(website, '//([^/]+)', 1) LEFT JOIN i ON i.provider = last.provider)
+  SELECT 'resolve' AS stage, provider FROM s WHERE website IS NULL AND NOT locked UNION ALL
+  SELECT 'crawl', provider FROM s WHERE website IS NOT NULL UNION ALL
+  SELECT 'extract', provider FROM s WHERE n_pages > 0 UNION ALL
+  SELECT 'images', provider FROM s WHERE n_images > 0""", ("facts_raw", "photos_raw"))
+def stage_targets(spark, d):
+    """What each of the four stages still has to work on."""
+    last = O.first_per(view(spark, d, "facts_raw"), ["provider"], F.desc("_ord")).select(
+        "provider", "website", F.endswith("provider", F.lit("7 Inc")).alias("locked"),
+        F.regexp_extract("website", "//([^/]+)", 1).alias("host"))
+    pages = view(spark, d, "web_pages").groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    images = view(spark, d, "photos_raw").groupBy("provider").agg(F.count(F.lit(1)).alias("n_images"))
+    state = last.join(pages, "host", "left").join(images, "provider", "left")
+    rows = [R.targets(state, s).select(F.lit(s).alias("stage"), "provider") for s in ("resolve", "crawl", "extract", "images")]
+    return reduce(DataFrame.unionByName, rows)
