@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gazetteer.operators import dataset as D
 from gazetteer.operators import pages as P
 from gazetteer.operators import resolve as R
 
@@ -96,3 +97,21 @@ def test_first_accepted_host_wins_and_html_is_needed(spark):
     block = spark.createDataFrame([("p", "bad.org", "x")], "provider string, domain string, why string")
     r = R.resolve(asked, pages, block).collect()
     assert [(x["website"], x["source"]) for x in r] == [("https://c.org/", "generated")]
+
+
+def test_targets_of_each_stage(spark):
+    rows = [("a", None, False, None, None), ("b", None, True, 0, 0), ("c", "https://c.org", None, 3, None),
+            ("d", "https://d.org", False, None, 2), (None, None, None, 1, 1)]
+    df = spark.createDataFrame(rows, "provider string, website string, locked boolean, n_pages long, n_images long")
+    left = {s: {r.provider for r in R.targets(df, s).collect()} for s in ("resolve", "crawl", "extract", "images")}
+    assert left == {"resolve": {"a", None}, "crawl": {"c", "d"}, "extract": {"c", None}, "images": {"d", None}}
+
+
+def test_prior_merge_keeps_lock_and_route(spark):
+    new = spark.createDataFrame([("a", 2, False), ("b", 1, False)], "provider string, site_count int, locked boolean")
+    prior = spark.createDataFrame(
+        [(1, "a", "https://old.org", "old.org", False), (2, "a", "https://a.org", "a.org", True)],
+        "_ord long, provider string, website string, resolved_via string, locked boolean")
+    got = D.merge_prior(new, prior, ["website", "resolved_via", "locked"]).orderBy("provider").collect()
+    assert [(r.provider, r.website, r.resolved_via, r.locked) for r in got] == [
+        ("a", "https://a.org", "a.org", True), ("b", None, None, False)]
