@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from gazetteer import vocab
 from gazetteer.functions.geo import haversine
+from gazetteer.functions.regex import let
+from gazetteer.session import cut_lineage
 
 DEGREES_PER_METRE = 360.0 / (2 * math.pi * vocab.EARTH_M)
 METRES_PER_MILE = vocab.EARTH_M / vocab.EARTH_MILES
@@ -105,61 +107,112 @@ def pick_preferred(pairs: DataFrame, key: str = "id") -> DataFrame:
 
 # --- nearest neighbour ------------------------------------------------------
 
-LEVELS = 12
-COARSEST = 16.0  # degrees
+ROOT = 45.0  # degrees, so at most 45 cells cover the globe
+FAN = 2      # bits: a cell has 4 x 4 cells below it
+DEPTH = 8    # the finest cells are some 80 m wide
+AXES = ("x", "y", "z")
+
+
+def _turned(lng: Column) -> Column:
+    """A longitude between -180 and 180."""
+    return F.when(F.abs(lng) <= 180, lng).otherwise(F.pmod(lng + 180.0, F.lit(360.0)) - 180.0)
+
+
+def _on_sphere(lat: Column, lng: Column) -> list[Column]:
+    """A place as a point of the unit sphere; chords order places as distances do."""
+    a, b = F.radians(lat), F.radians(lng)
+    return [(F.cos(a) * F.cos(b)).alias("x"), (F.cos(a) * F.sin(b)).alias("y"), F.sin(a).alias("z")]
+
+
+def _least(cell: Column) -> Column:
+    """No target of the cell has a smaller squared chord to the row's place, by the box around them."""
+    gaps = [F.greatest(cell["low"][a] - F.col(a), F.col(a) - cell["high"][a], F.lit(0.0)) for a in AXES]
+    return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]) * (1 - 1e-8) - 1e-15  # slack for rounding
+
+
+def _reached(cell: Column) -> Column:
+    """Squared chord to the target that stands for the cell; the nearest is no further."""
+    steps = [cell["stand"][a] - F.col(a) for a in AXES]
+    return sum((d * d for d in steps[1:]), steps[0] * steps[0])
+
+
+def _score(cells: Column) -> Column:
+    return F.transform(cells, lambda c: F.struct(
+        _least(c).alias("least"), _reached(c).alias("most"), c["_i"].alias("_i"), c["_j"].alias("_j")))
+
+
+def _choose(cells: Column) -> Column:
+    """The scored cells that may hold the nearest target."""
+    best = F.array_min(F.transform(cells, lambda c: c["most"]))
+    return let(best, lambda b: F.filter(cells, lambda c: c["least"] <= b))
+
+
+def _tree(placed: DataFrame) -> DataFrame:
+    """For each cell of each level above the finest the cells below it, at most 16 (level -1: the roots).
+
+    A cell is the box around its targets and the one closest to its middle.
+    """
+    level = F.col("_level")
+    up = F.lit(FAN) * (DEPTH - level)
+    size = F.lit(ROOT) / F.pow(F.lit(2.0), F.lit(FAN) * level)
+    off = F.abs(F.col("r_lat") - (F.col("_i") + 0.5) * size) + F.abs(F.col("r_lng") - (F.col("_j") + 0.5) * size)
+    at = F.struct(*AXES)
+    cells = (
+        placed.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in range(DEPTH + 1)])))
+        .withColumns({c: F.floor(F.col(c) / F.pow(F.lit(2.0), up)).cast("bigint") for c in ("_i", "_j")})
+        .groupBy("_level", "_i", "_j").agg(
+            F.struct(*[F.min(a).alias(a) for a in AXES]).alias("low"),
+            F.struct(*[F.max(a).alias(a) for a in AXES]).alias("high"),
+            F.min(F.struct(off.alias("off"), *AXES)).alias("stand")))
+    above = {c: F.when(level > 0, F.shiftright(c, FAN)).otherwise(F.lit(0).cast("bigint")) for c in ("_i", "_j")}
+    return (
+        cells.withColumn("_kid", F.struct("low", "high", "stand", "_i", "_j")).withColumns(above)
+        .groupBy((level - 1).alias("_level"), "_i", "_j").agg(F.collect_list("_kid").alias("_kids")))
 
 
 def nearest(points: DataFrame, targets: DataFrame, earth: float = vocab.EARTH_MILES) -> DataFrame:
     """For each point the closest target; ties go to the lowest ``r_ord``.
 
     Points have ``point_id``, ``lat``, ``lng``; targets ``target``, ``r_lat``,
-    ``r_lng``, ``r_ord``.  A pyramid of grids replaces the all-pairs search: the
-    finest level with a target in the nine cells around a point bounds the
-    distance, and nine cells eight times as wide then hold every target that
-    could be closer.  Points with nothing around at the coarsest level, far
-    outside the region, meet the targets of one catch-all cell.
+    ``r_lng``, ``r_ord``.  Rows without a place (a null, not a number, a
+    latitude past a pole) are left out; without targets no row is returned.
+
+    Targets form a tree of grid cells that know the box around their targets
+    and one target in it.  A point goes down from the root cells: the target
+    that stands for a cell bounds the distance from above, the boxes bound it
+    from below, and only cells that may still hold the nearest go on to the
+    next level.  So a point meets few cells wherever it lies, also across the
+    date line and far from all targets, and only targets of its last cells.
+    Targets at one place fold into the first of them.
     """
-    points = points.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    targets = targets.where(F.col("r_lat").isNotNull() & F.col("r_lng").isNotNull())
-    levels = F.explode(F.array(*[F.lit(i) for i in range(LEVELS)]))
-    size = F.lit(COARSEST) / F.pow(F.lit(2.0), F.col("_level"))
-
-    def cells(df: DataFrame, lat: str, lng: str) -> DataFrame:
-        return df.withColumn("_ci", F.floor(F.col(lat) / size).cast("bigint")).withColumn(
-            "_cj", F.floor(F.col(lng) / size).cast("bigint")
-        )
-
-    def around(df: DataFrame) -> DataFrame:
-        step = F.explode(F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)]))
-        return (
-            df.withColumn("_i", step).withColumn("_j", step)
-            .withColumn("_ci", F.col("_ci") + F.col("_i"))
-            .withColumn("_cj", F.col("_cj") + F.col("_j")).drop("_i", "_j")
-        )
-
-    key = ["_level", "_ci", "_cj"]
-    placed = cells(targets.withColumn("_level", levels), "r_lat", "r_lng")
-    reachable = around(placed.select(*key).distinct()).distinct()
-    finest = (
-        cells(points.withColumn("_level", levels), "lat", "lng")
-        .join(reachable, key)
-        .groupBy("point_id").agg(F.max("_level").alias("_finest"))
-    )
-    chosen = F.greatest(F.coalesce(F.col("_finest") - 3, F.lit(-1)), F.lit(-1))
-    searched = points.join(finest, "point_id", "left").withColumn("_level", chosen)
-    zero = F.lit(0).cast("bigint")
-    gridded = around(cells(searched.where("_level >= 0"), "lat", "lng"))
-    far = searched.where("_level < 0").withColumn("_ci", zero).withColumn("_cj", zero)
-    catch_all = targets.withColumn("_level", F.lit(-1)).withColumn("_ci", zero).withColumn("_cj", zero)
+    points = points.where(F.col("lat").between(-90, 90) & ~F.isnan("lng") & (F.abs("lng") < math.inf))
+    targets = targets.where(F.col("r_lat").between(-90, 90) & ~F.isnan("r_lng") & (F.abs("r_lng") < math.inf))
+    size = ROOT / (1 << FAN * DEPTH)
+    placed = (
+        targets.groupBy("r_lat", "r_lng").agg(F.min(F.struct("r_ord", "target")).alias("_first"))
+        .withColumns({"_i": _cell(F.col("r_lat"), size), "_j": _cell(_turned(F.col("r_lng")), size)}))
+    tree = cut_lineage(_tree(placed.select("r_lat", "r_lng", "_i", "_j", *_on_sphere(F.col("r_lat"), F.col("r_lng")))))
+    root = tree.where("_level = -1").select("_kids").scalar()
+    place = ["point_id", "lat", "lng", *AXES]
+    found = (
+        points.select("point_id", "lat", "lng", *_on_sphere(F.col("lat"), F.col("lng")), root.alias("_kids"))
+        .select(*place, let(_score(F.col("_kids")), _choose).alias("_cells")))
+
+    def step(df: DataFrame) -> DataFrame:
+        return df.select(*place, F.inline(F.transform(
+            "_cells", lambda c: F.struct(c["_i"].alias("_i"), c["_j"].alias("_j")))))
+
+    for level in range(DEPTH):
+        kids = tree.where(F.col("_level") == level).drop("_level")
+        met = step(found).join(kids, ["_i", "_j"]).select(
+            *place, let(_score(F.col("_kids")), _choose).alias("_cells"))
+        found = met.groupBy(*place).agg(F.flatten(F.collect_list("_cells")).alias("_cells")).withColumn(
+            "_cells", _choose(F.col("_cells")))
     d = haversine(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"), earth)
     return (
-        gridded.unionByName(far)
-        .join(placed.unionByName(catch_all), key)
-        .withColumn("_d", d)
+        step(found).join(placed, ["_i", "_j"])
         .groupBy("point_id")
-        .agg(F.min_by(F.struct("target", F.col("_d").alias("distance")),
-                      F.struct("_d", "r_ord")).alias("best"))
-        .select("point_id", "best.*")
+        .agg(F.min(F.struct(d.alias("distance"), "_first")).alias("_best"))
+        .select("point_id", F.col("_best._first.target").alias("target"),
+                F.col("_best.distance").alias("distance"))
     )
-
-

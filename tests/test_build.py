@@ -79,6 +79,51 @@ def test_nearest_equals_all_pairs(spark):
     assert {r["point_id"]: r["target"] for r in got} == want
 
 
+def test_nearest_around_the_globe_and_odd_rows(spark):
+    import math
+
+    rng = random.Random(9)
+    spots = [(0.0, 179.99), (0.0, -179.99), (89.9, 10.0), (-89.9, -120.0), (40.7, -74.0), (-33.9, 151.2)]
+
+    def near(n, wide):
+        out = []
+        for _ in range(n):
+            a, b = rng.choice(spots)
+            out.append((max(-90.0, min(90.0, a + rng.gauss(0, wide))), (b + rng.gauss(0, wide) + 180) % 360 - 180))
+        return out
+
+    places = near(300, 0.3) + [(40.7, -74.0)] * 3 + [(0.0, 0.0)]
+    asked = near(150, 1.0) + [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)] + [
+        (90.0, 0.0), (-90.0, 77.0), (0.0, 180.0), (0.0, -180.0), (40.7, -74.0)]
+    targets = [(f"t{i}", a, b, i) for i, (a, b) in enumerate(places)]
+    points = [(i, a, b) for i, (a, b) in enumerate(asked)]
+    odd = [(9001, None, 1.0), (9002, 1.0, None), (9003, float("nan"), 1.0), (9004, 91.0, 1.0), (None, 40.7, -74.0)]
+    got = S.nearest(
+        spark.createDataFrame(points + odd, "point_id int, lat double, lng double"),
+        spark.createDataFrame(targets + [("x", None, None, 0), ("y", 1.0, float("inf"), 0)],
+                              "target string, r_lat double, r_lng double, r_ord int")).collect()
+
+    def dist(p, t):
+        r = math.radians
+        h = math.sin(r(t[1] - p[1]) / 2) ** 2 + math.cos(r(p[1])) * math.cos(r(t[1])) * math.sin(r(t[2] - p[2]) / 2) ** 2
+        return 2 * 3958.8 * math.asin(min(1, math.sqrt(h)))
+
+    by = {r["point_id"]: r for r in got}
+    assert len(got) == len(by) and set(by) == {p[0] for p in points} | {None}
+    for p in points:
+        best = min(dist(p, t) for t in targets)
+        assert abs(by[p[0]]["distance"] - best) < 1e-6
+    assert by[points[-1][0]]["target"] == by[None]["target"] == min(
+        (t for t in targets if t[1:3] == (40.7, -74.0)), key=lambda t: t[3])[0]
+
+
+def test_nearest_without_targets_or_points(spark):
+    points = spark.createDataFrame([(1, 40.1, -74.0)], "point_id int, lat double, lng double")
+    targets = spark.createDataFrame([("a", 40.0, -74.0, 2)], "target string, r_lat double, r_lng double, r_ord int")
+    assert S.nearest(points, targets.limit(0)).count() == 0
+    assert S.nearest(points.limit(0), targets).count() == 0
+
+
 def test_nearest_keeps_the_first_of_equals(spark):
     t = [("b", 40.0, -74.0, 2), ("a", 40.0, -74.0, 1)]
     got = S.nearest(spark.createDataFrame([(1, 40.1, -74.0)], "point_id int, lat double, lng double"),
