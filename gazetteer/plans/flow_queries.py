@@ -17,6 +17,7 @@ from gazetteer.operators import evidence as E
 from gazetteer.plans import inputs as I
 from gazetteer.plans.registry import query
 from gazetteer.plans.views import table, view
+from gazetteer.plans.web_queries import SQL_CRAWL
 from gazetteer.session import cut_lineage, shared_dir
 from gazetteer.sources import files as S
 from gazetteer.sources.paged import parquet_pages, read_paged
@@ -287,14 +288,21 @@ def over_limit_stream(spark, d):
 FACTS = "provider string, has_program boolean, contact_email string, contact_phone string"
 
 
-@query("q_refresh", """SELECT lower(split_part(url, '/', 3)) AS provider, count(*) > 0 AS refreshed FROM pages GROUP BY 1""")
+@query("q_refresh", f"""WITH p AS (SELECT lower(split_part(url, '/', 3)) AS provider, page_id, {SQL_CRAWL} AS text FROM pages WHERE url IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY lower(split_part(url, '/', 3)), url ORDER BY page_id DESC) = 1),
+  t AS (SELECT *, regexp_extract(text, '[\\w.+-]+@[\\w-]+\\.[\\w.]+') AS email, regexp_extract(text, '\\(?\\d{{3}}\\)?[-.\\s]\\d{{3}}[-.\\s]\\d{{4}}') AS phone FROM p)
+  SELECT provider, bool_or(regexp_matches(text, '(?i){vocab.HAS_PROGRAM}')) AS has_program,
+    coalesce(arg_min(email, page_id) FILTER (email <> ''), '') AS contact_email, coalesce(arg_min(phone, page_id) FILTER (phone <> ''), '') AS contact_phone
+  FROM t GROUP BY 1""")
 def refreshed(spark, d):
-    """Pages come in as a stream; each organisation ends with current facts."""
-    pages = table(spark, d, "pages")
-    stream = spark.readStream.schema(pages.schema).option("pathGlobFilter", "pages.parquet").parquet(d)
-    rows = stream.select(
+    """Pages arrive twice, every other one empty at first; each organisation ends with the facts of its last pages."""
+    pages = table(spark, d, "pages").select(
         F.lower(F.split_part("url", F.lit("/"), F.lit(3))).alias("provider"), "url",
         crawl_text(F.col("html")).alias("text"), F.col("page_id").alias("_ord"))
     out = _folder(spark, "refresh")
-    refresh(rows, out, lambda p: E.keyword_facts(p).select("provider", "has_program", "contact_email", "contact_phone"), FACTS).awaitTermination()
-    return current_facts(spark, out, FACTS).select("provider", F.col("has_program").isNotNull().alias("refreshed"))
+    for arrival in (F.when(F.pmod("_ord", F.lit(2)) == 0, F.col("text")).otherwise(""), F.col("text")):
+        pages.withColumn("text", arrival).write.mode("append").parquet(f"{out}/landing")
+        stream = spark.readStream.schema(pages.schema).parquet(f"{out}/landing")
+        refresh(stream, out, lambda p: E.keyword_facts(p).select(
+            "provider", "has_program", "contact_email", "contact_phone"), FACTS).awaitTermination()
+    return current_facts(spark, out, FACTS)

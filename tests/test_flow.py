@@ -14,7 +14,7 @@ from gazetteer.operators import cache as C
 from gazetteer.sources import files as S
 from gazetteer.sources.paged import read_paged
 from gazetteer.streaming import rate as R
-from gazetteer.streaming.refresh import current_facts, refresh
+from gazetteer.streaming.refresh import current_facts, refresh, refresh_batch
 
 
 def step(*texts, kind="model_output"):
@@ -232,6 +232,39 @@ def test_refresh_redoes_changed_organisations_only(spark, tmp_path):
     assert [r["provider"] for r in redone] == ["a"]
 
 
+def test_refresh_reads_only_touched_buckets_and_survives_a_broken_batch(spark, tmp_path):
+    out, facts = str(tmp_path / "out"), "provider string, words string"
+
+    def extract(pages):
+        return pages.where("text <> 'none'").groupBy("provider").agg(
+            F.array_join(F.array_sort(F.collect_list("text")), " ").alias("words"))
+
+    def batch(epoch, rows):
+        df = spark.createDataFrame(rows, "provider string, url string, text string, _ord long")
+        refresh_batch(df, epoch, out, extract, facts, buckets=4)
+
+    def now():
+        return {r["provider"]: r["words"] for r in current_facts(spark, out, facts).collect()}
+
+    assert now() == {}
+    names = [f"p{i}" for i in range(12)]
+    batch(0, [(p, "u", "x", i) for i, p in enumerate(names)] + [(None, "u", "x", 1), ("p1", None, "x", 1), ("p0", "v", None, 1)])
+    assert now() == {p: "x" for p in names}
+    batch(1, [])
+    batch(2, [("p3", "u", "old", 1), ("p3", "u", "new", 2), ("p4", "u", "x", 9)])
+    assert now() == {p: "new" if p == "p3" else "x" for p in names}
+    # Only the bucket of p3 was written again, and with it nothing of other buckets.
+    assert len(list((tmp_path / "out" / "current" / "epoch=2").glob("bucket=*"))) == 1
+    # A batch that breaks before its index is written changes nothing; repeated, it counts once.
+    with pytest.raises(ZeroDivisionError):
+        refresh_batch(spark.createDataFrame([("p5", "u", "y", 1)], "provider string, url string, text string, _ord long"),
+                      3, out, lambda p: 1 / 0, facts, buckets=4)
+    assert now()["p5"] == "x"
+    batch(3, [("p5", "u", "y", 1), ("p6", "u", "none", 1)])
+    batch(3, [("p5", "u", "y", 1), ("p6", "u", "none", 1)])
+    assert now()["p5"] == "y" and "p6" not in now() and len(now()) == 11
+
+
 # --- sources ------------------------------------------------------------------
 
 def test_paged_reads_until_a_short_page(spark):
