@@ -41,6 +41,16 @@ def test_nearest_school_first_and_far_ones_out(spark):
     assert S.pick_preferred(pairs.where("false")).count() == 0
 
 
+def test_copies_of_the_cells_are_never_broadcast(spark):
+    # Tables whose small size Spark knows.
+    s = spark.sql("SELECT 'A' AS dbn, 'A' AS name, 40.7D + id AS lat, -73.9D + id AS lng, false AS serves_k5, id AS _ord FROM range(2)")
+    site = spark.sql("SELECT 'x' AS id, 40.7D + id AS lat, -73.9D + id AS lng FROM range(1)")
+    pairs = S.schools_within(site, s)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert [tuple(r) for r in pairs.select("id", "dbn", "distance_m").collect()] == [("x", "A", 0)]
+
+
 @pytest.mark.parametrize("partitions", [1, 16])
 def test_grid_equals_all_pairs(spark, partitions):
     rng = random.Random(2)
