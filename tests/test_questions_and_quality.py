@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gazetteer.functions import asking as A
 from gazetteer.operators import quality as Q
 from gazetteer.operators import questions as QU
+from gazetteer import session
+from gazetteer.operators import similar
 from gazetteer.operators.similar import near_duplicate_groups, shingles
 
 
@@ -178,3 +180,14 @@ def test_near_copies_in_chains(spark):
     order = random.Random(3).sample(range(len(rows)), len(rows))
     df = spark.createDataFrame([(k, "s", t) for k, (_, t) in zip(order, rows, strict=True)], "doc_id long, source string, text string")
     assert_groups(df)
+
+
+def test_near_copies_of_many_unlike_texts(spark, monkeypatch):
+    """Texts that share half of their shingles meet in large buckets without links; that takes few rounds."""
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, "s", common + "".join(f" w{i}x{j}" for j in range(30))) for i in range(48)]
+    rows += [(100 + i, "s", t + f" w{i}end") for i, _, t in rows[::3]]
+    cuts = []
+    monkeypatch.setattr(similar, "cut_lineage", lambda df: cuts.append(1) or session.cut_lineage(df))
+    assert_groups(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert len(cuts) < 60
