@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gazetteer.operators import dataset as D
 from gazetteer.operators import order as O
 from gazetteer.operators import spatial as S
+from gazetteer.plans import inputs as I
 
 
 @pytest.mark.parametrize("contract, area, tier, method, want", [
@@ -71,6 +72,31 @@ def test_grid_equals_all_pairs(spark, partitions):
     assert {(r["id"], r["dbn"]) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("lat0, lng0", [(40.7, -73.9), (-0.001, 179.999), (89.9985, 10.0)])
+def test_school_lists_equal_all_pairs(spark, lat0, lng0):
+    rng = random.Random(5)
+    wide = 0.004 if lat0 < 80 else 90.0
+    place = lambda: (lat0 + rng.random() * 0.0015, (lng0 + rng.random() * wide + 180) % 360 - 180)
+    left = spark.createDataFrame([(str(i), *place()) for i in range(60)] + [("no", None, None)], "id string, lat double, lng double")
+    right = schools(spark, [(f"D{i}", f"S{i}", *place(), i % 3 == 0, i) for i in range(200)] + [("null", "n", None, 1.0, True, 999)])
+    pairs = S.schools_within(left, right).orderBy("distance_m", "school_ord").collect()
+    want = {str(i): [] for i in range(60)} | {"no": []}
+    for r in pairs:
+        want[r["id"]].append((r["dbn"], r["school_name"], r["distance_m"], r["serves_k5"]))
+    got = {r["id"]: [tuple(x) for x in r["co"] or []] for r in S.with_schools(left, right, "co").collect()}
+    assert got == want and pairs
+
+
+def test_school_lists_are_not_shuffled(spark):
+    """The lists of co-located schools are made by the last join, and by none where nobody reads them."""
+    programs = I.programs(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    above, below = plan(programs).split("collect_list", 1)
+    assert "Exchange hash" not in above.split("collect_list", 1)[0].split("SortMergeJoin")[0]
+    assert "collect_list(struct(lat" in plan(programs)
+    assert "collect_list(struct(lat" not in plan(programs.select("id", "cost", "enrichment", "inSchoolBuilding"))
+
+
 def test_nearest_equals_all_pairs(spark):
     rng = random.Random(4)
     points = [(i, 40 + rng.random() * 5, -75 + rng.random() * 5) for i in range(60)] + [(60, 10.0, 20.0), (61, -33.0, 151.0)]
