@@ -52,6 +52,25 @@ def test_copies_of_the_cells_are_never_broadcast(spark):
     assert [tuple(r) for r in pairs.select("id", "dbn", "distance_m").collect()] == [("x", "A", 0)]
 
 
+def test_hosts_near_first_equal_all_pairs_and_make_few(spark, monkeypatch):
+    rng = random.Random(5)
+    sites = [(f"s{i}", 40.7 + rng.random() * 0.002, -73.9 + rng.random() * 0.002) for i in range(200)]
+    sites += [(f"f{i}", 41 + i / 1000, -73.9) for i in range(9)] + [("null", None, -73.9), ("alone", 42.0, -73.9)]
+    # Dense schools with equal distances, then single ones further out, some of which serve.
+    near = [(f"d{i}", "n", 40.7 + rng.randrange(200) * 1e-5, -73.9 + rng.randrange(200) * 1e-5, i % 3 == 0, i) for i in range(900)]
+    near += [(f"e{i}{j}", "n", 41 + i / 1000 + j * m / 111195, -73.9, j == 2 and i % 3 > 0, 2000 + i * 9 + j)
+             for i in range(9) for j, m in ((1, 10), (2, 14.4 + i / 10), (3, 40))]
+    left = spark.createDataFrame(sites, "id string, lat double, lng double")
+    right = schools(spark, near)
+    pairs = S.schools_within(left, right)
+    want, all_pairs = sorted(map(tuple, S.pick_preferred(pairs).collect())), pairs.count()
+    assert len(want) == 209
+    made, pick = [], S.pick_preferred
+    monkeypatch.setattr(S, "pick_preferred", lambda p, *a: (made.append(p.count()), pick(p, *a))[1])
+    assert sorted(map(tuple, S.preferred_schools(left, right).collect())) == want
+    assert sum(made) * 5 < all_pairs
+
+
 @pytest.mark.parametrize("partitions", [1, 16])
 def test_grid_equals_all_pairs(spark, partitions):
     rng = random.Random(2)
