@@ -5,6 +5,9 @@ before the catalog is touched.  The catalog folds into cells: programs alike in
 cost, hours, days, ages and topics become one row with their number and the
 first few of them.  Cells are folded again for each place or ZIP asked about;
 filters meet the cells of their place, never the programs.
+
+Spark estimates the size of questions and of their words from the file they come
+from, which may be far too small; such rows are never the broadcast side.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ FILTERS = [
     "cost", "after_min", "before_min", "hours_kind", "days", "age", "age_group", "topics",
     "places", "near_zip",
 ]
+PLACE_LETTERS = 5  # shorter names and words name no place
 
 
 def parse_texts(texts: DataFrame) -> DataFrame:
@@ -44,7 +48,7 @@ def place_phrases(catalog: DataFrame) -> DataFrame:
     names = catalog.select("_ord", F.posexplode(F.array("neighborhood", "location")).alias("_at", "_name"))
     phrase = F.trim(F.regexp_replace(F.lower("_name"), ",.*$", ""))
     return names.select(phrase.alias("phrase"), F.struct("_ord", "_at").alias("place_ord")).where(
-        F.length("phrase") >= 5).groupBy("phrase").agg(F.min("place_ord").alias("place_ord"))
+        F.length("phrase") >= PLACE_LETTERS).groupBy("phrase").agg(F.min("place_ord").alias("place_ord"))
 
 
 def place_words(catalog: DataFrame) -> DataFrame:
@@ -52,7 +56,7 @@ def place_words(catalog: DataFrame) -> DataFrame:
     words = F.split(F.lower("_name"), "[^a-z0-9]+")
     return (
         names.select("_ord", F.posexplode(words).alias("_at", "word"))
-        .where((F.length("word") >= 5) & ~F.col("word").isin(vocab.PLACE_SKIP))
+        .where((F.length("word") >= PLACE_LETTERS) & ~F.col("word").isin(vocab.PLACE_SKIP))
         .groupBy("word").agg(F.min(F.struct("_ord", "_at")).alias("place_ord"))
     )
 
@@ -73,8 +77,9 @@ def match_places(parsed: DataFrame, catalog: DataFrame) -> DataFrame:
     # Per question at most the names of the place dictionary it spells out.
     found = hits.groupBy("q").agg(F.transform(
         F.array_sort(F.collect_set(F.struct("place_ord", "phrase"))), lambda x: x["phrase"]).alias("_found"))
-    tokens = texts.select("q", F.explode(F.array_distinct(F.split("q", "[^a-z0-9_]+"))).alias("word"))
-    words = tokens.join(place_words(catalog), "word").groupBy("q").agg(F.transform(
+    spelled = F.filter(F.array_distinct(F.split("q", "[^a-z0-9_]+")), lambda w: F.length(w) >= PLACE_LETTERS)
+    tokens = texts.select("q", F.explode(spelled).alias("word"))
+    words = tokens.hint("merge").join(place_words(catalog), "word").groupBy("q").agg(F.transform(
         F.array_sort(F.collect_set(F.struct("place_ord", "word"))), lambda x: x["word"]).alias("_words"))
     none = F.array().cast("array<string>")
     more = F.coalesce("_found", F.when(F.size("places") == 0, F.col("_words")), none)
@@ -283,7 +288,7 @@ def route_questions(questions: DataFrame, catalog: DataFrame, centroids: DataFra
     any_hit = hits.select(F.col("qid").alias("q")).distinct().withColumn("_hit", F.lit(True))
     routes = first.join(any_hit, "q", "left").withColumn("route", F.coalesce(
         "route", F.when(F.col("_hit"), "keyword"), F.lit("none"))).drop("_hit")
-    routed = asked.join(routes, "q")
+    routed = asked.hint("merge").join(routes, "q")
     return {"routes": routed, "named": named, "keyword": keyword}
 
 

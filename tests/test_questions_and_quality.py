@@ -1,6 +1,7 @@
 """Question parsing and answers; stage checks that must not pass for nothing."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from gazetteer.functions import asking as A
 from gazetteer.operators import quality as Q
 from gazetteer.operators import questions as QU
+from gazetteer.operators.evidence import keyword_search
+from gazetteer.operators.phrases import _anchored_join
 from gazetteer import session
 from gazetteer.operators import similar
 from gazetteer.operators.similar import near_duplicate_groups, shingles
@@ -51,6 +54,38 @@ def answer(spark, *questions):
     return [(r["route"], r["intro"] if r["route"] == "filters" else None, r["ids"] or []) for r in rows]
 
 
+def joined(df, kind, key):
+    """Whether the plan has a join of this kind on the key."""
+    return re.search(rf"{kind} \[[^\]]*\b{key}#", df._jdf.queryExecution().executedPlan().toString()) is not None
+
+
+def test_questions_and_their_words_are_never_broadcast(spark):
+    # Tables whose size Spark believes to be small, as it does of packed files.
+    catalog = spark.sql(CATALOG)
+    asked = spark.sql("SELECT id AS qid, concat('robotics in harlem, org c ', id % 2) AS question FROM range(3)")
+    places = QU.match_places(QU.parse_questions(asked), catalog)
+    for key in ("word", "_id"):
+        assert joined(places, "SortMergeJoin", key) and not joined(places, "BroadcastHashJoin", key)
+    assert [r["places"] for r in places.collect()] == [["harlem"]] * 3
+    centres = spark.createDataFrame([("11215", 40.668, -73.98)], "zip string, lat double, lng double")
+    routes = QU.route_questions(asked, catalog, centres)["routes"]
+    assert re.search(r"SortMergeJoin \[q#\d+\], \[q#\d+\], Inner", routes._jdf.queryExecution().executedPlan().toString())
+    assert [r["route"] for r in routes.collect()] == ["filters"] * 3
+
+
+def test_texts_and_their_pieces_are_never_broadcast(spark):
+    phrases = spark.sql("SELECT id AS phrase_id, 'chess club' AS phrase FROM range(2)")
+    texts = spark.sql("SELECT id AS text_id, concat('the chess club today ', id) AS text FROM range(3)")
+    pairs = _anchored_join(phrases, texts, [])
+    for key in ("feature", "text_id"):
+        assert joined(pairs, "SortMergeJoin", key) and not joined(pairs, "BroadcastHashJoin", key)
+    assert pairs.count() == 6
+    asked = spark.sql("SELECT id AS qid, if(id < 2, 'club chess', 'none') AS q FROM range(2)")
+    hits = keyword_search(asked, texts)
+    assert joined(hits, "SortMergeJoin", "phrase_id") and not joined(hits, "BroadcastHashJoin", "phrase_id")
+    assert hits.count() == 6
+
+
 def test_routes_and_answers(spark):
     got = answer(
         spark, "  ", "Hello!", "help?", "Is it safe for my child", "tell me about robot hall please", "free robotics in brooklyn",
