@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gazetteer.functions import asking as A
 from gazetteer.operators import quality as Q
 from gazetteer.operators import questions as QU
-from gazetteer.operators.evidence import keyword_search
+from gazetteer.operators.evidence import keyword_search, keyword_sets
 from gazetteer.operators.phrases import _anchored_join
 from gazetteer import session
 from gazetteer.operators import similar
@@ -86,6 +86,16 @@ def test_texts_and_their_pieces_are_never_broadcast(spark):
     assert hits.count() == 6
 
 
+def test_pairs_of_sets_meet_nothing_after_they_are_made(spark):
+    texts = spark.sql("SELECT id AS text_id, concat('the chess club today ', id) AS text FROM range(3)")
+    asked = spark.sql("SELECT if(id < 2, 'club chess', if(id = 2, 'zebra', 'a')) AS q FROM range(4)")
+    found = keyword_sets(asked, texts)
+    pairs, alone = found._jdf.queryExecution().executedPlan().toString().split("\n   :- ")[1].split("\n   +- ")
+    assert "Join" not in pairs and "Join" in alone
+    got = sorted(map(tuple, found.collect()), key=repr)
+    assert got == [("", 1, None), ("chess club", 2, 0), ("chess club", 2, 1), ("chess club", 2, 2), ("zebra", 1, None)]
+
+
 def test_routes_and_answers(spark):
     got = answer(
         spark, "  ", "Hello!", "help?", "Is it safe for my child", "tell me about robot hall please", "free robotics in brooklyn",
