@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gazetteer.functions import text as T
 from gazetteer.operators import evidence as E
 from gazetteer.operators.phrases import contains_join
-from gazetteer.plans.evidence_queries import keyword_search_all, quote_around_all
+from gazetteer.plans.evidence_queries import keyword_search as keyword_search_query, keyword_search_all, quote_around_all
 from gazetteer.vocab import SUBJECT_GROUPS, SUBJECT_PATTERNS, SUBJECT_VOCAB
 
 L = F.lit
@@ -128,6 +128,13 @@ def test_questions_of_every_language_are_answered(spark, tmp_path):
     assert got == sorted([("chess club robots", 2, 1), ("chess club robots", 2, 2), ("ere jardin lumi", 1, 3), ("dont", 1, None), ("", 2, None)], key=repr)
 
 
+def test_every_text_asks_whatever_its_language(spark, tmp_path):
+    rows = [(1, "a robots chess club", "en"), (2, "x chess robots club more", "fr"), (3, "y jardin lumi ere", "de"), (4, None, "en"), (5, "z robots", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, keyword_search_query(spark, str(tmp_path)).collect()))
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (5, 1), (5, 2), (5, 5)]
+
+
 def facts(spark, *texts):
     pages = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "provider string, _ord int, text string")
     return E.keyword_facts(pages).first()
