@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gazetteer import vocab
 from gazetteer.operators import dataset as D
 from gazetteer.operators import order as O
 from gazetteer.operators import spatial as S
@@ -71,6 +72,21 @@ def test_hosts_near_first_equal_all_pairs_and_make_few(spark, monkeypatch):
     assert sum(made) * 5 < all_pairs
 
 
+@pytest.mark.parametrize("earth", [vocab.EARTH_M, vocab.EARTH_MILES])
+def test_either_side_may_be_copied(spark, earth):
+    rng = random.Random(7)
+    for lat0, lng0, wide in ((40.7, -73.9, 0.004), (-0.001, 179.999, 0.004), (89.9985, 10.0, 90.0)):
+        place = lambda: (lat0 + rng.random() * 0.0015, (lng0 + rng.random() * wide + 180) % 360 - 180)  # noqa: B023, E731
+        left = spark.createDataFrame([(i, *place()) for i in range(80)] + [(99, None, 1.0)], "id int, lat double, lng double")
+        right = spark.createDataFrame([(i, *place()) for i in range(90)] + [(99, 1.0, None)], "r_id int, r_lat double, r_lng double")
+        one, two = [S.within(left, right, 120, earth, copy_left=c) for c in (False, True)]
+        every = left.crossJoin(right).withColumn("distance", S.haversine(*[F.col(c) for c in ("lat", "lng", "r_lat", "r_lng")], earth))
+        limit = 120 if earth == vocab.EARTH_M else 120 / S.METRES_PER_MILE
+        want = sorted(map(tuple, every.where(F.col("distance") <= limit).collect()))
+        assert one.columns == two.columns == every.columns
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) == want and want
+
+
 @pytest.mark.parametrize("partitions", [1, 16])
 def test_grid_equals_all_pairs(spark, partitions):
     rng = random.Random(2)
