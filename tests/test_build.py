@@ -72,6 +72,20 @@ def test_hosts_near_first_equal_all_pairs_and_make_few(spark, monkeypatch):
     assert sum(made) * 5 < all_pairs
 
 
+def test_few_pairs_are_made_where_schools_lie_very_dense(spark, monkeypatch):
+    rng = random.Random(6)
+    place = lambda: (40.7 + rng.random() * 0.0006, -73.9 + rng.random() * 0.0006)
+    left = spark.createDataFrame([(f"s{i}", *place()) for i in range(60)] + [("alone", 42.0, -73.9), ("one", 43.0, -73.9)], "id string, lat double, lng double")
+    right = schools(spark, [(f"d{i}", "n", *place(), i % 2 == 0, i) for i in range(3000)] + [("o", "n", 43.00001, -73.9, True, 9000)])
+    pairs = S.schools_within(left, right)
+    want, all_pairs = sorted(map(tuple, S.pick_preferred(pairs).collect())), pairs.count()
+    assert [(r[0], r[-1]) for r in want if r[0] == "one"] == [("one", False)] and all(r[-1] for r in want if r[0] != "one")
+    made, pick = [], S.pick_preferred
+    monkeypatch.setattr(S, "pick_preferred", lambda p, *a: (made.append(p.count()), pick(p, *a))[1])
+    assert sorted(map(tuple, S.preferred_schools(left, right).collect())) == want
+    assert 0 < sum(made) * 20 < all_pairs
+
+
 @pytest.mark.parametrize("earth", [vocab.EARTH_M, vocab.EARTH_MILES])
 def test_either_side_may_be_copied(spark, earth):
     rng = random.Random(7)
