@@ -146,6 +146,16 @@ def test_school_lists_are_not_shuffled(spark):
     assert "collect_list(struct(lat" not in plan(programs.select("id", "cost", "enrichment", "inSchoolBuilding"))
 
 
+def test_counts_make_no_lists(spark):
+    """Whether a campus is shared is known from the search for the host."""
+    d = "/root/testdata/sf0.001"
+    programs = I.programs(spark, d)
+    counts = D.dataset_counts(programs, I.schools(spark, d), I.zips(spark, d))
+    assert "collect_list(struct(lat" not in counts._jdf.queryExecution().executedPlan().toString()
+    lists = programs.select("_shared", F.size("coLocatedSchools").alias("n")).collect()
+    assert all(r["_shared"] == (r["n"] > 1) for r in lists) and {r["_shared"] for r in lists} == {True, False}
+
+
 def test_nearest_equals_all_pairs(spark):
     rng = random.Random(4)
     points = [(i, 40 + rng.random() * 5, -75 + rng.random() * 5) for i in range(60)] + [(60, 10.0, 20.0), (61, -33.0, 151.0)]
