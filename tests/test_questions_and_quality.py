@@ -236,3 +236,16 @@ def test_near_copies_of_many_unlike_texts(spark, monkeypatch):
     monkeypatch.setattr(similar, "cut_lineage", lambda df: cuts.append(1) or session.cut_lineage(df))
     assert_groups(spark.createDataFrame(rows, "doc_id long, source string, text string"))
     assert len(cuts) < 60
+
+
+def test_hosts_are_checked_against_the_schools(spark):
+    schools = spark.createDataFrame(
+        [("A", "A", 40.7, -73.9, False, 1), ("B", "B", 40.7005, -73.9, True, 2), ("F", "F", 41.7, -73.9, True, 3), ("N", "N", 40.9, -73.9, False, 4)],
+        "dbn string, name string, lat double, lng double, serves_k5 boolean, _ord long")
+    host = "struct<dbn:string,servesK5:boolean>"
+    programs = spark.createDataFrame(
+        [("right", 40.7, -73.9, ("B", True)), ("passed over", 40.7, -73.9, ("A", False)), ("far", 40.7, -73.9, ("F", True)), ("unknown", 40.7, -73.9, ("X", True)),
+         ("none", 45.0, -73.9, None), ("bare", 40.9, -73.9, ("N", False)), ("nameless", 40.9, -73.9, (None, False))],
+        f"id string, lat double, lng double, inSchoolBuilding {host}")
+    got = {r["check"]: (r["level"], r["failing"]) for r in Q.check_hosts(programs, schools).collect()}
+    assert got == {"host-is-co-located": ("fail", 3), "host-serves-when-possible": ("fail", 1)}
