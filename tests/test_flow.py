@@ -324,3 +324,20 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = S.source_slice(df, ["o_orderkey"], "o_orderstatus = 'F'", [F.col("o_orderkey")])._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan
     assert "o_totalprice" not in plan
+
+
+def test_tables_made_from_others_read_what_was_written(spark, tmp_path):
+    path, rows = str(tmp_path / "made"), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    programs = spark.range(50).mapInArrow(seen, "id long")
+    S.write_dataset(
+        {"programs": programs, "zips": lambda t: t["programs"].selectExpr("id % 5 AS zip").distinct()}, path, "v1",
+        lambda t: t["programs"].crossJoin(t["zips"].selectExpr("count(*) AS zips")).groupBy("zips").count())
+    assert rows.value == 50  # computed once
+    assert S.read_meta(spark, path, "v1").select("zips", "count").first()[:] == (5, 50)
+    assert [df.count() for df in S.read_dataset(spark, path, "v1", ["programs", "zips"])] == [50, 5]
